@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec
+from . import chat, order_minhash, packing, quality_rules, sentencepiece_codec, token_store, toxicity, warc
 from .common import table
 
 
@@ -15,9 +15,76 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(spark, warc.write_archive(table(spark, sf_dir, "pages")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["2"])
+    base = (1 << len(quality_rules.BASE)) - 1
+    return entries.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"failed & {base} != 0 AS base_failed", "kept")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_store.read_tokens(spark, store)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
+    "op4_order_minhash": op4_order_minhash,
+    "op6_packing": op6_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_token_store": op8_token_store,
+    "op10_chat": op10_chat,
 }
 
 #: DuckDB SQL where it can express a query; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS keeper FROM p),
+        bits AS (SELECT page_id, octet_length(b) AS n, keeper, unhex(sha1(b)) AS h FROM d),
+        five AS (SELECT page_id, n, keeper, list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex(h), 1 + 2 * ((5 * k) // 8), 2))::INT * 256 + coalesce(TRY_CAST('0x' || substr(hex(h), 3 + 2 * ((5 * k) // 8), 2) AS INT), 0)) >> (11 - (5 * k) % 8)) & 31)::INT, 1)) AS c FROM bits)
+        SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(c, '') AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper = page_id THEN NULL ELSE keeper END AS refers_to FROM five
+    """,
+    "op10_chat": r"""
+        WITH c AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        e AS (SELECT *, replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS r, replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS x FROM c)
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            sum(length(r) + length(x) + length('<|im_start|>') + length('<|im_end|>') + 2)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+    "op7_quality_rules": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+        u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+        g AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER d || ' ' || lead(x, 2) OVER d || ' ' || lead(x, 3) OVER d || ' ' || lead(x, 4) OVER d AS g FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL),
+        r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM c, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY doc_id),
+        m AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM m
+    """,
+}
