@@ -152,13 +152,13 @@ def token_cache(path: str, spaced: bool) -> TokenCache:
 
 
 @lru_cache(1)
-def word_hashes(limit: int = 500_000) -> Callable[[list[str]], np.ndarray]:
-    """A function from words to stable 64-bit hashes, remembered for at most `limit` words."""
+def word_hashes(limit: int = 500_000) -> Callable[[list], np.ndarray]:
+    """A function from words (text or UTF-8) to stable 64-bit hashes, remembered for at most `limit` words."""
     import xxhash
 
     known: dict[str, int] = {}
 
-    def hashes(words: list[str]) -> np.ndarray:
+    def hashes(words: list) -> np.ndarray:
         if len(known) > limit:
             known.clear()
         get = known.get
@@ -166,7 +166,7 @@ def word_hashes(limit: int = 500_000) -> Callable[[list[str]], np.ndarray]:
         if None in got:
             for i, h in enumerate(got):
                 if h is None:
-                    got[i] = known[words[i]] = xxhash.xxh64_intdigest(words[i].encode())
+                    got[i] = known[words[i]] = xxhash.xxh64_intdigest(words[i])
         return np.array(got, np.uint64)
 
     return hashes

@@ -45,12 +45,13 @@ POLICIES = {
 }
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements, in one pass without exchange. Each step names the one before twice or more, so none is computed anew for each element."""
-    df = docs.selectExpr("doc_id", "coalesce(text, '') AS t")
-    df = df.selectExpr("doc_id", "t", r"filter(split(t, '[ \\t-\\r]+', -1), x -> x != '') AS w", r"filter(split(t, '\n', -1), x -> length(translate(x, ' \t\n\u000b\u000c\r', '')) > 0) AS l")
+def measured(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """The carried column and the measurements, in one pass without exchange. Each step names the one before twice or more, so none is computed anew for each element."""
+    df = docs.selectExpr(carried, "coalesce(text, '') AS t")
+    carried = df.columns[0]
+    df = df.selectExpr(carried, "t", r"filter(split(t, '[ \\t-\\r]+', -1), x -> x != '') AS w", r"filter(split(t, '\n', -1), x -> length(translate(x, ' \t\n\u000b\u000c\r', '')) > 0) AS l")
     df = df.selectExpr(
-        "doc_id",
+        carried,
         "cast(size(w) AS bigint) AS n_words",
         r"cast(length(translate(t, ' \t\n\u000b\u000c\r', '')) AS bigint) AS word_chars",
         "cast(length(t) - length(translate(t, '#*$%&|<>', '')) AS bigint) AS n_symbols",
@@ -58,7 +59,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "cast(size(l) - size(array_distinct(l)) AS bigint) AS n_dup_lines",
         "CASE WHEN size(w) < 5 THEN cast(array() AS array<bigint>) ELSE transform(w, x -> xxhash64(x)) END AS h",
     )
-    rest = ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
+    rest = [carried, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     df = df.selectExpr(*rest, "CASE WHEN size(h) < 5 THEN h ELSE transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])) END AS g")
     df = df.selectExpr(*rest, "CASE WHEN size(array_distinct(g)) = size(g) THEN cast(array() AS array<struct<x:bigint,i:int>>) ELSE sort_array(transform(g, (x, i) -> struct(x, i))) END AS s")
     df = df.selectExpr(*rest, "CASE WHEN size(s) = 0 THEN cast(array() AS array<int>) ELSE sort_array(transform(s, (e, k) -> CASE WHEN get(s, k - 1).x = e.x OR get(s, k + 1).x = e.x THEN e.i END)) END AS p")
@@ -66,10 +67,15 @@ def measured(docs: DataFrame) -> DataFrame:
     return df.selectExpr(*rest, f"{repeats} AS n_repeat_words")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, measurements and the failure bits of all rules."""
+def ledger(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """doc_id (or another carried column), measurements and the failure bits of all rules."""
     bits = " | ".join(f"CASE WHEN {rule} THEN {1 << k}L ELSE 0L END" for k, (_, rule) in enumerate(RULES))
-    return measured(docs).withColumn("failed", F.expr(bits))
+    return measured(docs, carried).withColumn("failed", F.expr(bits))
+
+
+def filtered(docs: DataFrame, policy: Policy) -> DataFrame:
+    """The documents that the policy keeps, with their columns; the ledger is made beside them, without a join."""
+    return apply_policy(ledger(docs, "struct(*) AS row"), policy).where("kept").select("row.*")
 
 
 def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:

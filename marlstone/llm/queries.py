@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, order_minhash, packing, quality_rules, sentencepiece_codec, token_store, toxicity, warc
+from . import chat, jaccard_join, licenses, order_minhash, packing, quality_rules, sentencepiece_codec, token_store, toxicity, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,6 +46,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, store)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), jaccard_join.Near(3, 90, 100))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_report(table(spark, sf_dir, "conversations"))
 
@@ -51,9 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_order_minhash": op4_order_minhash,
+    "op5_licenses": op5_licenses,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_store": op8_token_store,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_chat": op10_chat,
 }
 
@@ -66,6 +76,20 @@ ORACLES: dict[str, str] = {
         five AS (SELECT page_id, n, keeper, list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex(h), 1 + 2 * ((5 * k) // 8), 2))::INT * 256 + coalesce(TRY_CAST('0x' || substr(hex(h), 3 + 2 * ((5 * k) // 8), 2) AS INT), 0)) >> (11 - (5 * k) % 8)) & 31)::INT, 1)) AS c FROM bits)
         SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(c, '') AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper = page_id THEN NULL ELSE keeper END AS refers_to FROM five
     """,
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        u AS (SELECT doc_id, len(w) AS k, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+        g AS (SELECT doc_id, k, x AS x0, lead(x, 1) OVER d AS x1, lead(x, 2) OVER d AS x2 FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        t AS MATERIALIZED (SELECT DISTINCT doc_id, x0 || ' ' || x1 || ' ' || x2 AS s FROM g WHERE x2 IS NOT NULL
+            UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 2),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        sides AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r AS (SELECT a AS v, a AS root FROM sides UNION SELECT sides.b, r.root FROM r JOIN sides ON sides.a = r.v),
+        m AS (SELECT v, min(root) AS root FROM r GROUP BY v)
+        SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.v = w.doc_id
+    """,
     "op10_chat": r"""
         WITH c AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),

@@ -106,23 +106,34 @@ def _table(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.float32)
 
 
+def _score(text: str | None, weights: np.ndarray, intercept: float) -> float:
+    grams = ngrams(text)
+    z = intercept + float(weights[np.unique(grams[weights[grams] != 0])].sum(dtype=float))
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
 def scored(docs: DataFrame, model: tuple[bytes, float]) -> DataFrame:
     """doc_id and score, one pass without exchange."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        raw, intercept = shared.value
-        weights = _table(raw)
-        used = weights != 0
+        weights, intercept = _table(shared.value[0]), shared.value[1]
+        return lambda doc_id, text: (doc_id, _score(text, weights, intercept))
 
-        def row(doc_id, text):
-            grams = ngrams(text)
-            z = intercept + float(weights[np.unique(grams[used[grams]])].sum(dtype=float))
-            return doc_id, 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, score double", start)
 
-        return row
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, score double", start)
+def below(docs: DataFrame, model: tuple[bytes, float], cut: float) -> DataFrame:
+    """The documents that score below `cut`, with their columns."""
+    bounded_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, intercept = _table(shared.value[0]), shared.value[1]
+        for batch in batches:
+            yield batch.filter(pa.array([_score(t, weights, intercept) < cut for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def held_out() -> object:
