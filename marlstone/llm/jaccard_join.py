@@ -3,8 +3,9 @@
 Equal sets of shingles make one class, whose representative is the least doc_id. A representative enters the
 tiles of its prefix: the shingles that any set close enough must share one of, rarest first. Tiles are banded
 by set size. Within a tile, hashed bitmaps (each shingle toggles one bit) bound the overlap from above: sets
-that differ in d shingles differ in at most d bits. What the bound lets through is verified by intersecting
-the sorted shingle arrays of the whole texts.
+that differ in d shingles differ in at most d bits. Tiles carry bitmaps of fixed size; pairs that pass meet bitmaps
+that grow with the set. What both bounds let through is verified by intersecting the sorted shingle arrays of
+the whole texts.
 
 Links are only needed until components are known. So rounds of hubs come first: each tile's least member is
 compared with the others, which is linear in the tile, and verified links are contracted. The last round takes
@@ -70,6 +71,22 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_bitmap(s: np.ndarray) -> bytes:
+    """The same with two bits or more for each member, a power of two of them, so that large sets don't fill it."""
+    size = max(64 * LONGS, 1 << (2 * max(1, len(s)) - 1).bit_length())
+    bits = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two wide bitmaps differ; the longer is folded, as parities add up."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """How many sets hold a shingle of each hash prefix, over all documents."""
 
@@ -103,11 +120,11 @@ def measured(docs: DataFrame, near: Near, order: np.ndarray) -> DataFrame:
                 prefix = s[first].view(np.int64).tolist()
             else:
                 prefix = []
-            return doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), bitmap(s).tolist() if k else None, prefix, near.band(len(s)) if k else None
+            return doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), bitmap(s).tolist() if k else None, wide_bitmap(s) if k else None, prefix, near.band(len(s)) if k else None
 
         return row
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, set_id binary, bits array<long>, prefix array<long>, band int", start)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, set_id binary, bits array<long>, wide binary, prefix array<long>, band int", start)
 
 
 def needed(ids: DataFrame) -> np.ndarray:
@@ -137,6 +154,21 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
 
 
+def narrowed(pairs: DataFrame, own: DataFrame, near: Near) -> DataFrame:
+    """The pairs whose wide bitmaps let enough overlap through."""
+    side = lambda x: own.selectExpr(f"doc_id AS {x}", f"n AS n{x}", f"wide AS w{x}")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+
+    def start():
+        def row(a, b, na, nb, wa, wb):
+            most = (na + nb - differing(wa, wb)) // 2
+            return a, b, near.den * most >= near.num * (na + nb - most)
+
+        return row
+
+    return map_rows(both, ["a", "b", "na", "nb", "wa", "wb"], "a long, b long, ok boolean", start).where("ok").select("a", "b")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
     """The pairs (a, b) whose whole texts are close enough."""
     ids = pairs.selectExpr("explode(array(a, b)) AS id")
@@ -182,11 +214,11 @@ def linked(docs: DataFrame, near: Near) -> DataFrame:
     sets, _ = stored(measured(docs, near, frequencies(docs, near.words)), "sets")
     reps = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     joined = sets.where("n > 0").select("doc_id", "n", "set_id").join(reps, "set_id", "left")
-    members, paths = _members(spark, sets, reps)
+    members, own, paths = _members(spark, sets, reps)
     final = None
     for k in range(HUB_ROUNDS + 1):
         pairs = _hub_pairs(members, near, ("lo", "hi")[k % 2]) if k < HUB_ROUNDS else _cross_pairs(members, near)
-        pairs, path = stored(pairs, "pairs")
+        pairs, path = stored(narrowed(pairs, own, near), "pairs")
         paths.append(path)
         if pairs.isEmpty():
             if k < HUB_ROUNDS:
@@ -218,10 +250,10 @@ def linked(docs: DataFrame, near: Near) -> DataFrame:
     return out.unionByName(sets.where("n = 0").selectExpr("doc_id", "n AS n_shingles", "doc_id AS component_id"))
 
 
-def _members(spark: SparkSession, sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows of tiles with two or more members: key, band of the tile, representative, its size, bitmap and component."""
+def _members(spark: SparkSession, sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows of tiles with two or more members (key, band of the tile, representative, its size, bitmap and component), and the representatives."""
     own = sets.where("size(prefix) > 0").join(reps.selectExpr("rep AS doc_id", "set_id AS s"), "doc_id").where("s = set_id")
-    own = own.groupBy("doc_id").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix"), F.any_value("band").alias("band"))
+    own = own.groupBy("doc_id").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"), F.any_value("prefix").alias("prefix"), F.any_value("band").alias("band"))
     own, path = stored(own, "own")
     entries = own.selectExpr("doc_id AS rep", "explode(prefix) AS key")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
@@ -229,9 +261,8 @@ def _members(spark: SparkSession, sets: DataFrame, reps: DataFrame) -> tuple[Dat
     banded = kept.join(own.selectExpr("doc_id AS rep", "n", "bits", "band AS own"), "rep").selectExpr("key", "explode(array(own, own + 1)) AS band", "rep", "n", "bits", "rep AS comp")
     alive = banded.groupBy("key", "band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "band")
     members, members_path = stored(banded.join(alive, ["key", "band"]), "members")
-    drop_path(spark, path)
     drop_path(spark, kept_path)
-    return members, [members_path]
+    return members, own, [members_path, path]
 
 
 def _bound(near: Near) -> str:
