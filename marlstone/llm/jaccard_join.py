@@ -217,7 +217,7 @@ def linked(docs: DataFrame, near: Near) -> DataFrame:
     members, own, paths = _members(spark, sets, reps)
     final = None
     for k in range(HUB_ROUNDS + 1):
-        pairs = _hub_pairs(members, near, ("lo", "hi")[k % 2]) if k < HUB_ROUNDS else _cross_pairs(members, near)
+        pairs = _hub_pairs(members, own, near, ("lo", "hi")[k % 2]) if k < HUB_ROUNDS else _cross_pairs(members, own, near)
         pairs, path = stored(narrowed(pairs, own, near), "pairs")
         paths.append(path)
         if pairs.isEmpty():
@@ -237,7 +237,7 @@ def linked(docs: DataFrame, near: Near) -> DataFrame:
         labels, path = components(edges)
         paths.append(path)
         moved = members.join(labels.selectExpr("v AS comp", "comp AS to"), "comp", "left")
-        members, path = stored(moved.select("key", "band", "rep", "n", "bits", F.coalesce("to", "comp").alias("comp")), "members")
+        members, path = stored(moved.select("key", "band", "rep", F.coalesce("to", "comp").alias("comp")), "members")
         paths.append(path)
         final = members.where("comp != rep").select("rep", "comp").distinct()
     if final is not None:
@@ -251,14 +251,17 @@ def linked(docs: DataFrame, near: Near) -> DataFrame:
 
 
 def _members(spark: SparkSession, sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Rows of tiles with two or more members (key, band of the tile, representative, its size, bitmap and component), and the representatives."""
+    """Rows of tiles with two or more members (key, band of the tile, representative and its component), and the representatives.
+
+    Sizes and bitmaps stay with the representatives until a round compares them, as a set is in many tiles.
+    """
     own = sets.where("size(prefix) > 0").join(reps.selectExpr("rep AS doc_id", "set_id AS s"), "doc_id").where("s = set_id")
     own = own.groupBy("doc_id").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"), F.any_value("prefix").alias("prefix"), F.any_value("band").alias("band"))
     own, path = stored(own, "own")
-    entries = own.selectExpr("doc_id AS rep", "explode(prefix) AS key")
+    entries = own.selectExpr("doc_id AS rep", "band AS own", "explode(prefix) AS key")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     kept, kept_path = stored(entries.join(shared, "key"), "entries")
-    banded = kept.join(own.selectExpr("doc_id AS rep", "n", "bits", "band AS own"), "rep").selectExpr("key", "explode(array(own, own + 1)) AS band", "rep", "n", "bits", "rep AS comp")
+    banded = kept.selectExpr("key", "explode(array(own, own + 1)) AS band", "rep", "rep AS comp")
     alive = banded.groupBy("key", "band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "band")
     members, members_path = stored(banded.join(alive, ["key", "band"]), "members")
     drop_path(spark, kept_path)
@@ -277,21 +280,20 @@ def _active(members: DataFrame) -> DataFrame:
     return members.groupBy("key", "band").agg(F.min(pair).alias("lo"), F.max(pair).alias("hi")).where("lo.comp < hi.comp")
 
 
-def _hub_pairs(members: DataFrame, near: Near, end: str) -> DataFrame:
+def _hub_pairs(members: DataFrame, own: DataFrame, near: Near, end: str) -> DataFrame:
     """For each member one hub of another component: that of the most tiles. A tile's hub is the first or last of its order."""
     hubs = _active(members).selectExpr("key", "band", f"{end}.comp AS hub_comp", f"{end}.rep AS hub")
     found = members.join(hubs, ["key", "band"]).where("comp != hub_comp").groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("c"))
-    info = members.groupBy("rep").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
-    both = found.join(info.selectExpr("rep AS hub", "n AS hn", "bits AS hbits"), "hub").join(info, "rep")
+    both = found.join(own.selectExpr("doc_id AS hub", "n AS hn", "bits AS hbits"), "hub").join(own.selectExpr("doc_id AS rep", "n", "bits"), "rep")
     both = both.selectExpr("struct(hn AS n, hbits AS bits) AS x", "struct(n, bits) AS y", "hub", "rep", "c").where(_bound(near))
     best = both.groupBy("rep").agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("h"))).alias("hub"))
     return best.selectExpr("hub AS a", "rep AS b")
 
 
-def _cross_pairs(members: DataFrame, near: Near) -> DataFrame:
+def _cross_pairs(members: DataFrame, own: DataFrame, near: Near) -> DataFrame:
     """All pairs of a tile in different components that the bound lets through."""
     alive = _active(members).select("key", "band")
-    rows = members.join(alive, ["key", "band"])
+    rows = members.join(alive, ["key", "band"]).join(own.selectExpr("doc_id AS rep", "n", "bits"), "rep")
     x, y = rows.alias("x"), rows.alias("y")
     on = [F.col("x.key") == F.col("y.key"), F.col("x.band") == F.col("y.band"), F.col("x.rep") < F.col("y.rep"), F.col("x.comp") != F.col("y.comp"), F.expr(_bound(near))]
     return x.join(y, on).selectExpr("x.rep AS a", "y.rep AS b").distinct()
