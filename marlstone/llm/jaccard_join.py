@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, drop_path, map_rows, shingles, stored, word_hashes
 
-SKETCH_BITS, NEED_BITS, LONGS, HUB_ROUNDS = 19, 24, 8, 2
+SKETCH_BITS, NEED_BITS, LONGS, HUB_ROUNDS, HOT_SHARE = 19, 24, 8, 2, 1000
 
 
 @dataclass(frozen=True)
@@ -212,8 +212,7 @@ def linked(docs: DataFrame, near: Near) -> DataFrame:
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets, _ = stored(measured(docs, near, frequencies(docs, near.words)), "sets")
-    reps = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    joined = sets.where("n > 0").select("doc_id", "n", "set_id").join(reps, "set_id", "left")
+    reps = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
     members, own, paths = _members(spark, sets, reps)
     final = None
     for k in range(HUB_ROUNDS + 1):
@@ -240,16 +239,28 @@ def linked(docs: DataFrame, near: Near) -> DataFrame:
         members, path = stored(moved.select("key", "band", "rep", F.coalesce("to", "comp").alias("comp")), "members")
         paths.append(path)
         final = members.where("comp != rep").select("rep", "comp").distinct()
-    if final is not None:
-        final, _ = stored(final, "components")
-        out = joined.join(final, "rep", "left").selectExpr("doc_id", "n AS n_shingles", "coalesce(comp, rep, doc_id) AS component_id")
-    else:
-        out = joined.selectExpr("doc_id", "n AS n_shingles", "coalesce(rep, doc_id) AS component_id")
+    out = _classed(sets, reps if final is None else reps.join(final, "rep", "left"))
     for path in paths:
         drop_path(spark, path)
     return out.unionByName(sets.where("n = 0").selectExpr("doc_id", "n AS n_shingles", "doc_id AS component_id"))
 
 
+def _classed(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Documents with words and their component.
+
+    Only classes of several documents, or linked to others, need a lookup. Of classes that hold more than one
+    HOT_SHARE-th of all documents there are fewer than HOT_SHARE: these are broadcast, the others joined by set.
+    """
+    comp = F.coalesce("comp", "rep") if "comp" in reps.columns else F.col("rep")
+    own = "c > 1 OR comp IS NOT NULL" if "comp" in reps.columns else "c > 1"
+    classes, _ = stored(reps.where(own).select("set_id", "c", comp.alias("to")), "classes")
+    many = max(1, sets.count() // HOT_SHARE)
+    hot, cold = F.broadcast(classes.where(f"c > {many}").drop("c")), classes.where(f"c <= {many}").drop("c")
+    rows = sets.where("n > 0").select("doc_id", "n", "set_id")
+    found = rows.join(hot, "set_id").unionByName(rows.join(hot, "set_id", "left_anti").join(cold, "set_id", "left"), allowMissingColumns=True)
+    return found.selectExpr("doc_id", "n AS n_shingles", "coalesce(to, doc_id) AS component_id")
+
+
 def _members(spark: SparkSession, sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Rows of tiles with two or more members (key, band of the tile, representative and its component), and the representatives.
 
