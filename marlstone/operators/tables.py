@@ -34,7 +34,11 @@ class SnapshotTable:
         return bool(self.log())
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.log()[-1][1]}")
+        """The newest whole snapshot and what was appended since."""
+        parts: list[str] = []
+        for _, name, _ in self.log():
+            parts = [*parts, name] if name.startswith("a") else [name]
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in parts])
 
     def overwrite(self, df: DataFrame, batch: str = "") -> None:
         """An empty result replaces the table too."""
@@ -45,7 +49,23 @@ class SnapshotTable:
     def append(self, df: DataFrame, batch: str = "") -> None:
         if batch and any(b == batch for _, _, b in self.log()):
             return
-        self.overwrite(self.read().unionByName(df) if self.exists() else df, batch)
+        if self.exists():
+            name = f"a{uuid.uuid4().hex}"
+            have = self.read()
+            df.select(*[df[c].cast(t).alias(c) for c, t in have.dtypes]).write.parquet(f"{self.path}/{name}")
+            self._commit(name, batch)
+        else:
+            self.overwrite(df, batch)
+
+    def optimize(self, columns: list[str], files: int) -> None:
+        """Rewrites the table as one snapshot, ranged and sorted by columns, for scans that skip row groups."""
+        self.overwrite(self.read().repartitionByRange(files, *columns).sortWithinPartitions(*columns))
+
+    def clone(self, path: str) -> SnapshotTable:
+        """A copy that later changes don't reach."""
+        out = SnapshotTable(self.spark, path)
+        out.overwrite(self.read())
+        return out
 
     def upsert(self, df: DataFrame, keys: list[str], batch: str = "", sequence_by: str | None = None) -> None:
         """Rows replace those of equal keys; of equal keys in a batch the last by sequence_by (any, without it) stays. Null keys match nothing."""
@@ -62,6 +82,13 @@ class SnapshotTable:
         fs.delete(at, True)
 
 
+def to_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **options: str) -> None:
+    """Write to a database; mode is overwrite, append, ignore or error."""
+    if mode not in ("overwrite", "append", "ignore", "error"):
+        raise ValueError(f"unknown mode {mode!r}")
+    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
 def split(df: DataFrame, column: str, path: str) -> None:
     """One folder for each value, in one job."""
     df.write.partitionBy(column).mode("overwrite").parquet(path)
