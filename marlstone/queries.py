@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import search, usage
+from .operators import candidates, search, usage
 from .operators.tables import SnapshotTable, stream_into
+from .plans import analyzer, views
 from .plans.pipeline import Pipeline
-from .quality import checks
+from .quality import checks, monitor, registry
+from .semantic import governance
 from .semantic.model import Catalog, Dimension, Metric, Model, Query, Relationship
 from .sources.readers import explode_union, union
 
@@ -293,3 +296,134 @@ def rrf_hybrid(spark, d):
 def graph_neighbors(spark, d):
     e = _read(spark, d, "orders").selectExpr("o_custkey AS src", "-o_orderkey AS dst", "o_totalprice / 100000 AS weight")
     return search.neighbours(e, spark.range(1, 2).select(F.col("id").alias("node")))
+
+
+def _drafted(spark, d, sql):
+    found = analyzer.draft(spark, sql)
+    for t in found.spec["tables"]:
+        t["source"] = {"type": "parquet", "path": f"{d}/{t['name']}.parquet"}
+    return Pipeline(spark, found.spec).run()
+
+
+_AGGREGATED = "SELECT c.c_mktsegment AS segment, count(*) AS n, max(o.o_totalprice) AS top FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus <> 'P' AND c.c_acctbal > 0 GROUP BY c.c_mktsegment HAVING count(*) > 2"
+_OUTER = "SELECT o.o_orderkey, upper(c.c_name) AS name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 100000 AND c.c_acctbal > 5000"
+
+
+@query(_AGGREGATED)
+def sql_draft_aggregate(spark, d):
+    return _drafted(spark, d, _AGGREGATED)
+
+
+@query(_OUTER)
+def sql_draft_outer_join(spark, d):
+    return _drafted(spark, d, _OUTER)
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def mv_select(spark, d):
+    table, spec = SnapshotTable(spark, _folder(spark, "view")), {"aggregate": {"group_by": ["o_orderstatus"], "measures": [["*", "n", "count"]]}}
+    views.materialize(Pipeline(spark, {**spec, "tables": [{"name": "orders"}]}, {"orders": _read(spark, d, "orders").limit(0)}).run(), {"old": True}, table)
+    views.materialize(Pipeline(spark, {**spec, "tables": [{"name": "orders"}]}, {"orders": _read(spark, d, "orders")}).run(), spec, table)
+    return table.read()
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, count(CASE WHEN c_acctbal > 0 THEN c_custkey END) AS n_rich FROM customer WHERE c_nationkey < 20 GROUP BY 1")
+def metric_view(spark, d):
+    model = Model("v", "{t}", {"segment": Dimension("segment", "c_mktsegment")}, {"n": Metric("n", "*", "count"), "n_rich": Metric("n_rich", "c_custkey", "count", ("c_acctbal > 0",))}, base_filter="c_nationkey < 20")
+    return spark.sql(views.metric_view(model)[1], t=_read(spark, d, "customer"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def snapshot_append(spark, d):
+    table = SnapshotTable(spark, _folder(spark, "append"))
+    table.append(_read(spark, d, "nation").select("n_nationkey", "n_name"), "1")
+    for _ in range(2):
+        table.append(_read(spark, d, "region").selectExpr("r_regionkey AS n_nationkey", "r_name AS n_name"), "2")
+    return table.read()
+
+
+@query("""SELECT * FROM (VALUES ('null', 'PASS'), ('small', 'FAIL'), ('rows', 'PASS'), ('more', 'FAIL'), ('fresh', 'FAIL'), ('loaded', 'SKIPPED'), ('kind', 'PASS'), ('gone', 'ERROR'), ('keys', 'FAIL'), ('custom', 'PASS')) t(name, status)""")
+def dq_monitor(spark, d):
+    c = monitor.Check
+    found = monitor.run(_read(spark, d, "lineitem"), [
+        c("null", "null", ("l_returnflag",)), c("invariant", "small", ("l_quantity", "lte", 45)), c("volume", "rows", (1, None)), c("variation", "more", (0.1,)),
+        c("freshness", "fresh", ("l_shipdate", timedelta(days=1))), c("load_freshness", "loaded", (timedelta(days=1),)), c("type", "kind", ("l_orderkey", "long")),
+        c("null", "gone", ("no_such",)), c("unique", "keys", ("l_orderkey", "l_linenumber")), c("custom", "custom", ("SELECT count(*) FROM {table} WHERE l_quantity < 0", 0)),
+    ], datetime(2030, 1, 1), previous_rows=1)
+    return spark.createDataFrame([(r.name, r.status) for r in found], "name string, status string")
+
+
+@query("SELECT 'nation' AS product, '2' AS version, 'r2' AS run_id")
+def certification_latest(spark, d):
+    store, at = registry.RunStore(SnapshotTable(spark, _folder(spark, "runs"))), datetime(2026, 1, 1)
+    for run, version, state, results in [("r1", "1", "PROMOTED", []), ("r2", "2", "PROMOTED", []), ("r3", "3", "PROMOTED", [checks.Result("x", "FAIL", 1)]), ("r4", "4", "QUARANTINED", [])]:
+        at = store.record(run, "nation", version, state, at + timedelta(hours=1), results)
+    return store.certified().drop("at")
+
+
+@query("SELECT 'nation:r1:x' AS incident_id, 'ASSIGNED' AS state, 'ann' AS who")
+def incident_state(spark, d):
+    kept, at = registry.Incidents(SnapshotTable(spark, _folder(spark, "incidents"))), datetime(2026, 1, 1)
+    (one,) = kept.open("nation", "r1", [checks.Result("x", "FAIL", 1), checks.Result("y", "PASS", 0)], at)
+    kept.move(one, "ACK", "ann", at + timedelta(hours=1))
+    kept.move(one, "ASSIGNED", "ann", at + timedelta(hours=2))
+    return kept.current().select("incident_id", "state", "who")
+
+
+@query("SELECT 'customer' AS name, 'c_nationkey' AS \"column\" UNION ALL SELECT 'nation', 'n_nationkey'")
+def registry_search(spark, d):
+    kept = registry.Registry(SnapshotTable(spark, _folder(spark, "registry")))
+    kept.upsert([{"name": t, "columns": _read(spark, d, t).columns} for t in ("nation", "customer", "region")])
+    kept.upsert([{"name": t, "columns": _read(spark, d, t).columns} for t in ("nation", "region")])
+    return kept.search("NATIONKEY")
+
+
+@query("SELECT c_mktsegment, round(sum(c_acctbal), 1) AS total_c_acctbal FROM customer GROUP BY 1")
+def model_draft(spark, d):
+    df = _read(spark, d, "customer")
+    model = governance.draft_model("customer", "customer", df)
+    return Catalog([model]).query(Query("customer", ["total_c_acctbal"], ["c_mktsegment"]), {"customer": df}, None).withColumn("total_c_acctbal", F.round("total_c_acctbal", 1))
+
+
+@query("SELECT 'many_to_one' AS cardinality")
+def draft_cardinality(spark, d):
+    return spark.createDataFrame([(governance.cardinality(_read(spark, d, "nation"), _read(spark, d, "region"), [("n_regionkey", "r_regionkey")]),)], "cardinality string")
+
+
+@query("SELECT 'join' AS kind, o_orderpriority AS subject, count(*) AS n_events, 'prejoin' AS action FROM orders GROUP BY 2 HAVING count(*) >= 5 AND quantile_disc(o_totalprice, 0.95) >= 1500")
+def usage_recommend(spark, d):
+    found = _read(spark, d, "orders").groupBy(F.lit("join").alias("kind"), F.col("o_orderpriority").alias("subject")).agg(F.count(F.lit(1)).alias("n_events"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY o_totalprice)").alias("p95"))
+    return usage.recommend(found)
+
+
+@query("SELECT c_nationkey AS name, count(*) AS n_seen, sum(q)::BIGINT AS n_queries FROM (SELECT c_nationkey, CASE WHEN c_acctbal > 9000 THEN 1 ELSE 0 END AS q FROM customer) GROUP BY 1 HAVING count(*) >= 3 AND sum(q) <= 1")
+def usage_unused(spark, d):
+    seen = _read(spark, d, "customer").selectExpr("c_nationkey AS name", "CASE WHEN c_acctbal > 9000 THEN 1 ELSE 0 END AS queries")
+    return usage.unused(seen.select("name").distinct(), seen)
+
+
+@query("""WITH x AS (SELECT user_id, value, event_type = 'purchase' AS f, ts >= TIMESTAMP '2024-01-15' AS a FROM events),
+    g AS (SELECT user_id, count(*) FILTER (NOT a) AS n_before, count(*) FILTER (a) AS n_after, count(value) FILTER (NOT a AND NOT f) AS v_before, count(value) FILTER (a AND NOT f) AS v_after,
+        quantile_disc(value, 0.95) FILTER (NOT a AND NOT f) AS p95_before, quantile_disc(value, 0.95) FILTER (a AND NOT f) AS p95_after, avg(f::INT) FILTER (NOT a) AS fb, avg(f::INT) FILTER (a) AS fa FROM x GROUP BY 1),
+    v AS (SELECT *, n_before >= 5 AND n_after >= 5 AND v_before >= 5 AND v_after >= 5 AND p95_before <> 0 AS ok, p95_after >= 1.1 * p95_before OR fa - fb >= 0.1 AS worse, p95_after <= 0.9 * p95_before OR fb - fa >= 0.1 AS better FROM g)
+    SELECT user_id, n_before, n_after, p95_before, p95_after, CASE WHEN NOT ok THEN 'inconclusive' WHEN worse AND NOT better THEN 'regressed' WHEN better AND NOT worse THEN 'improved' ELSE 'inconclusive' END AS verdict FROM v""")
+def usage_outcome(spark, d):
+    return usage.outcome(_read(spark, d, "events").withColumn("failed", F.expr("event_type = 'purchase'")), ["user_id"], "ts", "value", "failed", "2024-01-15 00:00:00")
+
+
+@query("SELECT user_id, count(*) AS n_requests, count(DISTINCT event_type) AS n_requesters, count(DISTINCT ts::DATE) AS n_days, count(*) >= 5 AND count(DISTINCT event_type) >= 2 AND count(DISTINCT ts::DATE) >= 2 AS frequent FROM events GROUP BY 1")
+def candidate_frequency(spark, d):
+    return candidates.frequency(_read(spark, d, "events"), "user_id", "event_type", "ts")
+
+
+@query("WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS c FROM orders GROUP BY ALL) SELECT o_custkey, sum(c)::BIGINT AS n_runs, max(c) / sum(c) AS mode_share, sum(c) >= 3 AND max(c) = sum(c) AS stable FROM c GROUP BY 1")
+def candidate_stability(spark, d):
+    return candidates.stability(_read(spark, d, "orders"), "o_custkey", "o_orderstatus")
+
+
+@query("""WITH i AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12')
+    SELECT 'fallback_rate' AS signal, count(*) AS n, avg((value > 50)::INT) AS value FROM i UNION ALL SELECT 'orphan_certified_metrics', 1 + count(*) FILTER (event_type NOT IN (SELECT event_type FROM i)), 1 + count(*) FILTER (event_type NOT IN (SELECT event_type FROM i)) FROM (SELECT DISTINCT event_type FROM events)""")
+def candidate_drift(spark, d):
+    e = _read(spark, d, "events").selectExpr("event_type AS metric", "ts", "value > 50 AS fell_back")
+    names = e.select("metric").distinct().withColumn("certified", F.lit(True)).unionByName(spark.createDataFrame([("idle", True), ("open", False)], "metric string, certified boolean"))
+    return candidates.drift(e, names, "ts", "2024-01-10", "2024-01-12")
