@@ -41,6 +41,9 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 3
+#: Hashes held at once.
+CELLS = 1 << 20
+LOW = np.uint64(0xFFFF)
 
 
 class Scanner:
@@ -62,41 +65,48 @@ class Scanner:
         least = min(len(self.templates[k][2]) / (size - SHINGLE + 1) for size, ks in classes.items() for k in ks) * contained
         self.bands = math.ceil(math.log(1 - sure) / math.log(1 - least))
         self.seeds = mix(np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        #: For each class, sorted (band, minimum) keys of its templates and their numbers.
+        #: For each class, sorted minima of its templates, their numbers, and which low bits occur. Bands hash apart, so that a minimum tells its band.
         self.tables = {}
         for size, ks in classes.items():
-            keys = [(self._key(band, self._hash(shingles(self.hashes(WORD.findall(templates[k][1].lower())), SHINGLE), band).min()), k) for k in ks for band in range(self.bands)]
+            keys = [(self._hash(shingles(self.hashes(WORD.findall(templates[k][1].lower())), SHINGLE), band).min(), k) for k in ks for band in range(self.bands)]
             keys.sort()
-            self.tables[size] = np.array([x for x, _ in keys], np.uint64), np.array([k for _, k in keys])
+            known = np.array([x for x, _ in keys], np.uint64)
+            likely = np.zeros(1 << 16, bool)
+            likely[known & LOW] = True
+            self.tables[size] = known, np.array([k for _, k in keys]), likely
 
     def _hash(self, s: np.ndarray, band: int) -> np.ndarray:
         return mix(s ^ self.seeds[band])
 
-    @staticmethod
-    def _key(band: int, minimum: np.ndarray) -> np.ndarray:
-        return mix(minimum + np.uint64(band))
+    def _retrieved(self, s: np.ndarray) -> set[tuple[int, int, int]]:
+        """(template, first shingle, size) of the windows that share a band with a template; several bands at a time, as far as CELLS goes."""
+        found: set[tuple[int, int, int]] = set()
+        rows = max(1, CELLS // len(s))
+        for lo in range(0, self.bands, rows):
+            seeds = self.seeds[lo : lo + rows, None]
+            h = mix(s[None, :] ^ seeds)
+            for size, (keys, owners, likely) in self.tables.items():
+                step = size // 4
+                block = np.minimum.reduceat(h, np.arange(0, len(s), step), axis=1)
+                low = block.copy()
+                for j in range(1, min(4, block.shape[1])):
+                    low[:, :-j] = np.minimum(low[:, :-j], block[:, j:])
+                key = low.ravel()
+                near = np.flatnonzero(likely[key & LOW])
+                at = np.searchsorted(keys, key[near])
+                for w, first in zip(near.tolist(), at.tolist(), strict=True):
+                    for i in range(first, len(keys)):
+                        if keys[i] != key[w]:
+                            break
+                        found.add((int(owners[i]), w % low.shape[1] * step, size))
+        return found
 
     def matches(self, text: str | None) -> list[tuple[str, float, int, int]]:
         words = WORD.findall((text or "").lower())
         if len(words) < SHINGLE:
             return []
         s = shingles(self.hashes(words), SHINGLE)
-        found: set[tuple[int, int, int]] = set()
-        for band in range(self.bands):
-            h = self._hash(s, band)
-            for size, (keys, owners) in self.tables.items():
-                step = size // 4
-                block = np.minimum.reduceat(h, np.arange(0, len(h), step))
-                low = block.copy()
-                for j in range(1, min(4, len(block))):
-                    low[: len(low) - j] = np.minimum(low[: len(low) - j], block[j:])
-                key = self._key(band, low)
-                at = np.searchsorted(keys, key)
-                for w in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == key):
-                    for i in range(int(at[w]), len(keys)):
-                        if keys[i] != key[w]:
-                            break
-                        found.add((int(owners[i]), int(w) * step, size))
+        found = self._retrieved(s)
         best: dict[str, tuple[float, int, int]] = {}
         for k, start, size in sorted(found):
             name, n, need = self.templates[k]
