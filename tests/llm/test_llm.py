@@ -85,6 +85,16 @@ def test_licenses(spark):
     assert all(r.n_licenses == 0 for r in rows[len(texts) :])
 
 
+def test_full_licenses(spark):
+    text = {name: t for name, t in sorted(licenses.TEMPLATES, key=lambda x: len(x[1]))}
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    want = [([n], text[n]) for n in ("MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "BSL-1.0", "CC0-1.0", "MPL-2.0", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")]
+    want += [(["GPL-2.0-or-later"], gpl), (["AGPL-3.0-or-later"], gpl.replace("General", "Affero General").replace("version 2", "version 3")), (["LGPL-2.1-or-later"], gpl.replace("program", "library").replace("General", "Lesser General").replace("version 2", "version 2.1"))]
+    want += [(["ISC", "MIT"], f"{text['MIT']} lorem ipsum {text['ISC']}"), (["EPL-2.0"], "// SPDX-License-Identifier: EPL-2.0"), (["BSD-2-Clause"], text["BSD-2-Clause"].replace("COPYRIGHT HOLDERS", "AUTHOR").replace("1.", "*"))]
+    rows = licenses.scan(frame(spark, ["lorem ipsum dolor " * 50 + t + " sit amet" * 70 for _, t in want], False)).orderBy("doc_id").collect()
+    assert [r.licenses for r in rows] == [names for names, _ in want]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
