@@ -1,12 +1,13 @@
 """Order MinHash fingerprints with DataFrame expressions only.
 
 A text's words make k-mers of K words; each k-mer is numbered by its occurrence, so that repeats count. A hash
-of k-mer and number puts it into one of BINS bins and orders it there. Of each bin the L smallest are selected,
-put back into text order, and their k-mers hashed as a tuple. Moving text changes the order within tuples and
-so the signature, which a plain MinHash doesn't notice. Bins stand for separate hash functions: one hash a
-k-mer is enough, and each of the selections sees its own part of the k-mers.
+of k-mer and number puts it into one of BINS bins. Each bin stands for a hash function over all k-mers, which puts those
+of its own bin first, by that hash, and then all others, by a hash of their own for this bin. Of each function the L
+smallest are selected, put back into text order, and their k-mers hashed as a tuple. Moving text changes the order
+within tuples and so the signature, which a plain MinHash doesn't notice. Whatever a text's length, a function orders
+k-mers alike, so that short and long texts compare; the second hash is computed only where a bin holds fewer than L.
 
-Likeness is the share of equal tuples among bins that either text fills; two texts without words are alike (1).
+Likeness is the share of equal tuples among functions; two texts without words are alike (1).
 
 Defined results: null text counts as empty; a text of fewer than K words is one k-mer; equal texts have equal
 fingerprints; the next document is the next row by doc_id (null first), equal doc_ids by text hash, and after
@@ -25,7 +26,7 @@ BUCKET_ROWS, SEGMENTS, SPLITS = 4_096, 64, 1_024
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds `out`: sorted bin and tuple hash of each filled bin, as array<bigint>. The input must not use names that start with `_o`."""
+    """Adds `out`: bin and tuple hash of each bin's function, none for no words, as array<bigint>. The input must not use names that start with `_o`."""
     kept = [f"`{c}`" for c in df.columns]
     df = df.selectExpr(*kept, rf"filter(split(coalesce({text}, ''), '[ \\t-\\r]+', -1), x -> x != '') AS _ow")
     df = df.selectExpr(*kept, "transform(_ow, x -> xxhash64(x)) AS _oh", "size(_ow) AS _on")
@@ -35,14 +36,17 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.selectExpr(*kept, "_og", "_os", "CASE WHEN size(_os) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(_os) - 1), i -> i = 0 OR shiftright(_os[i], 24) != shiftright(_os[i - 1], 24)) END AS _ob")
     key = f"shiftleft(xxhash64(shiftright(x, 24), o) & {BINS - 1}L, 56) | (xxhash64(o, shiftright(x, 24)) & {0xFFFFFFFF << 24}L) | (x & {PLACE}L)"
     df = df.selectExpr(*kept, "_og", f"sort_array(flatten(transform(_ob, (b, j) -> transform(slice(_os, b + 1, coalesce(get(_ob, j + 1), size(_os)) - b), (x, o) -> {key})))) AS _oq")
-    df = df.selectExpr(*kept, "_og", f"filter(_oq, (x, i) -> i < {L} OR shiftright(get(_oq, i - {L}), 56) != shiftright(x, 56)) AS _oq")
-    df = df.selectExpr(*kept, "_og", "_oq", "filter(transform(_oq, (x, i) -> CASE WHEN i = 0 OR shiftright(get(_oq, i - 1), 56) != shiftright(x, 56) THEN i END), i -> i IS NOT NULL) AS _ob")
-    order = f"transform(sort_array(transform(slice(_oq, b + 1, coalesce(get(_ob, j + 1), size(_oq)) - b), x -> x & {PLACE}L)), p -> _og[cast(p AS int)])"
-    return df.selectExpr(*kept, f"transform(_ob, (b, j) -> (shiftright(_oq[b], 56) * {1 << 32}L) | (aggregate({order}, 0L, (a, x) -> xxhash64(a, x)) & {0xFFFFFFFF}L)) AS `{out}`")
+    df = df.selectExpr(*kept, "_og", "_oq", f"filter(_oq, (x, i) -> i < {L} OR shiftright(get(_oq, i - {L}), 56) != shiftright(x, 56)) AS _ot")
+    bins, full = f"sequence(0, {BINS - 1})", f"size(_ot) = {BINS * L}"
+    df = df.selectExpr(*kept, "_og", "_oq", f"CASE WHEN {full} THEN transform({bins}, b -> slice(_ot, b * {L} + 1, {L})) WHEN size(_ot) > 0 THEN transform({bins}, b -> filter(_ot, x -> shiftright(x, 56) = b)) ELSE cast(array() AS array<array<bigint>>) END AS _ob")
+    others = f"sort_array(transform(filter(_oq, x -> shiftright(x, 56) != b), x -> (xxhash64(x & {~PLACE}L, b) & {~PLACE}L) | (x & {PLACE}L)))"
+    df = df.selectExpr(*kept, "_og", f"transform(_ob, (own, b) -> CASE WHEN size(own) >= {L} THEN own ELSE concat(own, slice({others}, 1, {L} - size(own))) END) AS _ob")
+    order = f"transform(sort_array(transform(own, x -> x & {PLACE}L)), p -> _og[cast(p AS int)])"
+    return df.selectExpr(*kept, f"transform(_ob, (own, b) -> (b * {1 << 32}L) | (aggregate({order}, 0L, (a, x) -> xxhash64(a, x)) & {0xFFFFFFFF}L)) AS `{out}`")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Equal tuples among the bins that either fingerprint fills."""
+    """Equal tuples among the functions."""
     bins = f"size(array_union(transform({a}, x -> shiftright(x, 32)), transform({b}, x -> shiftright(x, 32))))"
     return F.expr(f"CASE WHEN size({a}) + size({b}) = 0 THEN 1.0D ELSE size(array_intersect({a}, {b})) / cast({bins} AS double) END")
 

@@ -76,6 +76,22 @@ def test_order_minhash(spark):
     assert order_minhash.edit_report(empty(spark)).count() == 0
 
 
+def test_order_of_short_texts(spark):
+    """Halves swapped: the share of equal tuples is that of pairs of k-mers, of all in either text, that keep their order."""
+    rnd = random.Random(8)
+    for n in (12, 20, 40, 64, 100, 250):
+        texts = []
+        for _ in range(40):
+            w = [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+            texts += [" ".join(w), " ".join(w[n // 2 :] + w[: n // 2])]
+        rows = order_minhash.fingerprint(frame(spark, texts, False), "text", "fp").orderBy("doc_id").collect()
+        assert all(len(r.fp) == 64 for r in rows)
+        alike = [len({*rows[i].fp} & {*rows[i + 1].fp}) / 64 for i in range(0, len(rows), 2)]
+        a, b = n // 2 - 1, n - n // 2 - 1  # k-mers within the halves; with the one across the border of each text there are n
+        kept = (a * (a - 1) + b * (b - 1)) / (n * (n - 1))
+        assert abs(np.mean(alike) - kept) < 0.05, (n, np.mean(alike), kept)
+
+
 def test_licenses(spark):
     filler = [f"w{i}" for i in range(300)]
     texts = [" ".join(filler[:k] + [text] + filler[k:]) for k in (0, 1, 7, 150, 300) for _, text in licenses.TEMPLATES]
