@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
@@ -110,17 +111,19 @@ class TokenCache:
     A text is cut where the tokenizer's own pattern cuts it, and each piece is encoded once and remembered
     (at most `limit` pieces). spaced: the pattern joins a space to the following word (byte-level files);
     otherwise letters are lower-cased and white space is dropped. Texts with characters beyond Latin
-    letters, whose classes differ between libraries, go to the tokenizer whole.
+    letters, whose classes differ between libraries, go to the tokenizer whole, and so do texts that hold an
+    added token's content (in any case), which the tokenizer finds before it cuts.
     """
 
     def __init__(self, path: str, spaced: bool, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.spaced, self.limit = spaced, limit
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.sign = os.path.commonprefix(self.added)
         self.known: dict[str, bytes] = {}
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
@@ -129,11 +132,12 @@ class TokenCache:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if BEYOND.search(text):
+        lower = text.lower()
+        if not text.isascii() and BEYOND.search(text) or self.sign in lower and any(content in lower for content in self.added):
             return self._fresh([text])[0]
         if len(self.known) > self.limit:
             self.known.clear()
-        pieces = (SPACED if self.spaced else WORDS).findall(text if self.spaced else text.lower())
+        pieces = (SPACED if self.spaced else WORDS).findall(text if self.spaced else lower)
         get = self.known.get
         got = [get(p) for p in pieces]
         if None in got:

@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, jaccard_join, licenses, order_minhash, packing, quality_rules, sentencepiece_codec, token_store, toxicity, warc
+from marlstone.llm import chat, common, jaccard_join, licenses, order_minhash, packing, quality_rules, sentencepiece_codec, token_store, toxicity, warc
 
 ODD = [None, "", " ", "\n", "a", "Ünï  códe\t\n x", "中文 テスト", "the " * 300, "<|im_end|> <s> </s>", "a\x00b", "x" * 5000, "one two three four five six seven eight nine ten eleven", "word-word's 12 ²3 ſt ﬁ İ"]
 
@@ -172,6 +172,15 @@ def test_token_store(spark):
     assert token_store.read_tokens(spark, none).count() == 0
 
 
+@pytest.mark.parametrize(("file", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens(file, spaced):
+    from tokenizers import Tokenizer
+
+    tok, cache = Tokenizer.from_file(P.path(file)), common.TokenCache(P.path(file), spaced)
+    for t in [*ODD, "a <|endoftext|> b <|startoftext|> c", "<|ENDofTEXT|>x", "x<|endoftext|>", "<|endoftext |> <|endoftext", "\u00e9 <|startoftext|><|endoftext|>\n it's"]:
+        assert np.frombuffer(cache(t), "<u2").tolist() == tok.encode(t or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("near", [jaccard_join.Near(3, 90, 100), jaccard_join.Near(5, 80, 100)])
 def test_jaccard_join(spark, near):
     rnd = random.Random(4)
