@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Classifier and packing have no SQL form; tests/llm compares the stages with brute force.
+#: Classifier and packing have no SQL form. tests/llm compares the operators with brute force, not the stages one after another.
 ORACLE_SQL = None
