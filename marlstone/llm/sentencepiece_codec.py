@@ -3,10 +3,12 @@
 A sequence of pieces is what merging yields exactly when every neighbouring pair is what merging its joined
 text yields. So the encoder takes the longest piece at each place (Aho-Corasick), checks it against the piece
 before by merging the two again, falls back to shorter pieces, and marks places from which no sequence goes
-on in a bit field. White space starts a new run of pieces; runs are remembered.
+on in a bit field. White space starts a new run of pieces; runs are remembered. Runs of any length are encoded so.
 
-The pieces of several space marks share one score, so equal merges are settled by place and the pair rule
-doesn't hold for them: runs with two or more space marks are merged directly.
+The rule of pairs needs merges in one order. Pieces of several space marks share one score, so that among them
+place decides; the leftmost grows first, which pairs reproduce. The constructor compares both for runs of marks
+up to four times the longest such piece, with and without a letter after them, and refuses a model in which
+they differ, or in which other pieces share a score.
 
 Defined results: null text counts as empty (begin and end id only); characters without a piece become byte
 pieces; a text of any length is encoded whole; repeated rows give repeated results; null doc_id is carried.
@@ -60,6 +62,14 @@ class BacktrackingEncoder:
             self.automaton.add_word(p, self.ids[p])
             self.shorter[self.ids[p]] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if self.ids.get(p[:k]) in self.shorter), -1)
         self.automaton.make_automaton()
+        marks = [p for p in self.ids if not p.strip(SPACE)]
+        others = [s for p, s in self.score.items() if p.strip(SPACE) and len(p) > 1]
+        if len({*others}) < len(others):
+            raise ValueError("pieces share a score")
+        for k in range(1, 4 * max(map(len, marks), default=0) + 1):
+            for end in ("", "a"):
+                if {*end} <= self.letters and self.backtrack(SPACE * k + end) != self.merge(SPACE * k + end):
+                    raise ValueError("pairs of space marks don't settle their pieces")
 
     def merge(self, text: str) -> list[int]:
         """Merging itself: the best-scored neighbouring pair first, the leftmost of equals."""
@@ -97,27 +107,25 @@ class BacktrackingEncoder:
             start = end + 1 - len(self.pieces[i])
             if longest[start] < 0 or len(self.pieces[i]) > len(self.pieces[longest[start]]):
                 longest[start] = i
-        failed, out, at, piece = 0, [], 0, longest[0]
+        failed, out, at, piece = bytearray(len(text) // 8 + 1), [], 0, longest[0]
         while at < len(text):
             end = at + len(self.pieces[piece])
-            if not failed >> end & 1 and (not out or self.fits(out[-1], piece)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.fits(out[-1], piece)):
                 out.append(piece)
                 at = end
                 piece = longest[at] if at < len(text) else -1
             elif self.shorter[piece] >= 0:
                 piece = self.shorter[piece]
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(self.pieces[piece])
         return out
 
     def run(self, text: str) -> list[int]:
-        if text.startswith(SPACE * 2):
-            return self.merge(text)
         out, start = [], 0
         if {*text} <= self.letters:
-            return self.backtrack(text) if len(text) <= 400 else self.merge(text)
+            return self.backtrack(text)
         for k, c in enumerate(text):
             if c not in self.letters:
                 if k > start:
