@@ -10,7 +10,8 @@ FIT_FEATURES features together; it runs in one task of that bounded size. Scores
 
 Defined results: null text counts as empty and scores by the intercept; rows of a doc_id with several labels
 train as toxic if any is 1; labels that are null, or whose doc_id is null, don't train; with labels of one
-kind only, all scores are the smoothed share of toxic labels; an empty table gives no rows.
+kind only, all scores are the smoothed share of toxic labels; without any labelled text (no labels, none that
+meets a text, no texts) nothing speaks for toxicity and all scores are 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,9 +50,11 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, float]
     """Weights of all features and the intercept."""
     size, y = 1 << BITS, labels.astype(float)
     weights = np.zeros(size, np.float32)
+    if not len(y):
+        return weights, -math.inf
     positive = float(y.sum())
     prior = math.log((positive + SMOOTH) / (len(y) - positive + SMOOTH))
-    if not len(y) or positive in (0, len(y)):
+    if positive in (0, len(y)):
         return weights, prior
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     with_, of_toxic = np.bincount(flat, minlength=size), np.bincount(flat, y[owner], size)
@@ -90,14 +93,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, float]:
         for batch in batches:
             for toxic, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = np.frombuffer(raw.as_buffer(), np.uint32)
-                room -= len(grams)
-                if room >= 0:
+                if len(grams) <= room:
+                    room -= len(grams)
                     y.append(toxic)
                     x.append(grams.copy())
         weights, b = _fit(np.array(y, int), x)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "intercept": [b]})
 
     model = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("grams")).select("toxic", "grams").mapInArrow(learn, "weights binary, intercept double").first()
+    if model is None:  # no partition held a row
+        weights, b = _fit(np.zeros(0, int), [])
+        return weights.tobytes(), b
     return bytes(model.weights), model.intercept
 
 
@@ -109,6 +115,8 @@ def _table(raw: bytes) -> np.ndarray:
 def _score(text: str | None, weights: np.ndarray, intercept: float) -> float:
     grams = ngrams(text)
     z = intercept + float(weights[np.unique(grams[weights[grams] != 0])].sum(dtype=float))
+    if z == -math.inf:
+        return 0.0
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
