@@ -1,6 +1,7 @@
 """Order MinHash fingerprints with DataFrame expressions only.
 
-A text's words make k-mers of K words; each k-mer is numbered by its occurrence, so that repeats count. A hash
+A text's words make k-mers of K words; a word of more than LONG code points (text without blanks, as Chinese) counts
+as its single characters. Each k-mer is numbered by its occurrence, so that repeats count. A hash
 of k-mer and number puts it into one of BINS bins. Each bin stands for a hash function over all k-mers, which puts those
 of its own bin first, by that hash, and then all others, by a hash of their own for this bin. Of each function the L
 smallest are selected, put back into text order, and their k-mers hashed as a tuple. Moving text changes the order
@@ -11,7 +12,8 @@ Likeness is the share of equal tuples among functions; two texts without words a
 
 Defined results: null text counts as empty; a text of fewer than K words is one k-mer; equal texts have equal
 fingerprints; the next document is the next row by doc_id (null first), equal doc_ids by text hash, and after
-the last the first; places of words count up to 2^24 and then start anew; other columns are not read.
+the last the first; places of words have 30 bits, which is more than a text of 2 GB can need; other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,22 +21,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, L, BINS = 2, 2, 64
-PLACE = (1 << 24) - 1
-#: Rows of one bucket of the order, and the number of buckets, from which on buckets grow.
-BUCKET_ROWS, SEGMENTS, SPLITS = 4_096, 64, 1_024
+K, L, BINS, LONG = 2, 2, 64, 24
+#: A place takes the low bits of a number, the bin the upper eight, a hash those between.
+PLACE_BITS = 30
+PLACE = (1 << PLACE_BITS) - 1
+HASH = (1 << 56) - 1 - PLACE
+#: Rows of one bucket of the order, segments of the order, and the most buckets of a segment, from which on buckets grow.
+BUCKET_ROWS, SEGMENTS, SPLITS = 256, 64, 1_024
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `out`: bin and tuple hash of each bin's function, none for no words, as array<bigint>. The input must not use names that start with `_o`."""
     kept = [f"`{c}`" for c in df.columns]
-    df = df.selectExpr(*kept, rf"filter(split(coalesce({text}, ''), '[ \\t-\\r]+', -1), x -> x != '') AS _ow")
+    df = df.selectExpr(*kept, rf"filter(split(coalesce({text}, ''), '[ \\t-\\r]+', -1), x -> x != '') AS _ow", rf"coalesce({text}, '') RLIKE '[^ \\t-\\r]{{{LONG + 1}}}' AS _ol")
+    df = df.selectExpr(*kept, f"CASE WHEN _ol THEN flatten(transform(_ow, x -> CASE WHEN length(x) > {LONG} THEN split(x, '') ELSE array(x) END)) ELSE _ow END AS _ow")
     df = df.selectExpr(*kept, "transform(_ow, x -> xxhash64(x)) AS _oh", "size(_ow) AS _on")
     grams = ", ".join(f"_oh[i + {j}]" for j in range(K))
     df = df.selectExpr(*kept, f"CASE WHEN _on = 0 THEN _oh WHEN _on < {K} THEN array(xxhash64(_oh)) ELSE transform(sequence(0, size(_oh) - {K}), i -> xxhash64({grams})) END AS _og")
     df = df.selectExpr(*kept, "_og", f"sort_array(transform(_og, (x, i) -> (x & {~PLACE}L) | (i & {PLACE}L))) AS _os")
-    df = df.selectExpr(*kept, "_og", "_os", "CASE WHEN size(_os) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(_os) - 1), i -> i = 0 OR shiftright(_os[i], 24) != shiftright(_os[i - 1], 24)) END AS _ob")
-    key = f"shiftleft(xxhash64(shiftright(x, 24), o) & {BINS - 1}L, 56) | (xxhash64(o, shiftright(x, 24)) & {0xFFFFFFFF << 24}L) | (x & {PLACE}L)"
+    df = df.selectExpr(*kept, "_og", "_os", f"CASE WHEN size(_os) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(_os) - 1), i -> i = 0 OR shiftright(_os[i], {PLACE_BITS}) != shiftright(_os[i - 1], {PLACE_BITS})) END AS _ob")
+    key = f"shiftleft(xxhash64(shiftright(x, {PLACE_BITS}), o) & {BINS - 1}L, 56) | (xxhash64(o, shiftright(x, {PLACE_BITS})) & {HASH}L) | (x & {PLACE}L)"
     df = df.selectExpr(*kept, "_og", f"sort_array(flatten(transform(_ob, (b, j) -> transform(slice(_os, b + 1, coalesce(get(_ob, j + 1), size(_os)) - b), (x, o) -> {key})))) AS _oq")
     df = df.selectExpr(*kept, "_og", "_oq", f"filter(_oq, (x, i) -> i < {L} OR shiftright(get(_oq, i - {L}), 56) != shiftright(x, 56)) AS _ot")
     bins, full = f"sequence(0, {BINS - 1})", f"size(_ot) = {BINS * L}"
@@ -56,18 +62,29 @@ def as_text(a: str) -> Column:
     return F.expr(f"array_join(transform({a}, x -> lpad(lower(hex(x)), 10, '0')), '')")
 
 
-def buckets(df: DataFrame, key: str, bucket_rows: int = BUCKET_ROWS) -> Column:
-    """A number that ascends with `key` and gives about equal groups: quantile segments, each cut evenly by value."""
+def buckets(df: DataFrame, key: str, tie: str, bucket_rows: int = BUCKET_ROWS) -> Column:
+    """A number that ascends with (key, tie) and gives about equal groups.
+
+    Quantile segments of the key are each cut evenly by value. A key that holds a segment or more by itself, as null
+    ids may, is cut by its tie, a hash, instead.
+    """
     row = df.agg(F.count(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.percentile_approx(key, [k / SEGMENTS for k in range(1, SEGMENTS)], 2_000).alias("q")).first()
     if not row.n:
         return F.lit(0).cast("long")
     splits = max(1, min(SPLITS, -(-row.n // (bucket_rows * SEGMENTS))))
-    edges = sorted({row.lo, *row.q}) + [row.hi + 1]
+    cuts = [row.lo, *row.q]
+    edges = sorted({*cuts}) + [row.hi + 1]
+    hot = {k: splits * cuts.count(k) for k in edges if cuts.count(k) > 1}
+    base = [0]
+    for edge in edges[:-1]:
+        base.append(base[-1] + splits + hot.get(edge, 0))
     steps = [max(1, -(-(b - a) // splits)) for a, b in zip(edges, edges[1:], strict=False)]
 
     def pick(lo: int, hi: int) -> str:
         if hi - lo == 1:
-            return f"({lo * splits}L + least({splits - 1}L, (cast({key} AS decimal(20, 0)) - {edges[lo]}) div {steps[lo]}))"
+            many = hot.get(edges[lo], 0)
+            even = f"{base[lo] + many}L + least({splits - 1}L, (cast({key} AS decimal(20, 0)) - {edges[lo]}) div {steps[lo]})"
+            return f"(CASE WHEN {key} = {edges[lo]} THEN {base[lo]}L + least({many - 1}L, cast(({tie} / 1.8446744073709552E19D + 0.5D) * {many} AS bigint)) ELSE {even} END)" if many else f"({even})"
         mid = (lo + hi) // 2
         return f"CASE WHEN {key} < {edges[mid]} THEN {pick(lo, mid)} ELSE {pick(mid, hi)} END"
 
@@ -81,7 +98,7 @@ def with_edits(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     (of the first, in the last), so that no window spans all rows.
     """
     keyed = docs.selectExpr("doc_id", "coalesce(text, '') AS text", f"coalesce(doc_id, {-(1 << 63) + 1}L) AS k")
-    keyed = keyed.withColumn("bucket", buckets(keyed, "k", bucket_rows)).withColumn("tie", F.xxhash64("text"))
+    keyed = keyed.withColumn("tie", F.xxhash64("text")).withColumn("bucket", buckets(keyed, "k", "tie", bucket_rows))
     firsts = keyed.groupBy("bucket").agg(F.min(F.struct("k", "tie")).alias("f"))
     every = Window.orderBy("bucket")
     whole = Window.partitionBy(F.lit(0))
