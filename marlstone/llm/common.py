@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="marlstone-"))
             atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
@@ -94,7 +97,10 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def spread(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small driver-side list, one task for each row."""
-    return spark.createDataFrame(rows, schema).repartition(max(1, len(rows)))
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), kind)
 
 
 #: The pre-tokenizing patterns of the two files, with their character classes spelled out for U+0000 to U+017F.
@@ -105,35 +111,43 @@ WORDS = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMB
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 
+#: One character of each kind that the patterns tell apart, and all others up to U+017F beside them.
+KINDS = ["a", "Z", "\u00e9", "7", "\u00b2", " ", "\n", "\t", "\u00a0", "\x85", ".", "'", "-", "\u00b4", "s", "\x1f", "\x00"]
+
+
 class TokenCache:
-    """Ids of whole texts by a `tokenizers` file, as little-endian unsigned 16-bit bytes.
+    """Ids of whole texts by a `tokenizers` file, as little-endian bytes of `dtype` (16 bits, or 32 for large vocabularies).
 
     A text is cut where the tokenizer's own pattern cuts it, and each piece is encoded once and remembered
     (at most `limit` pieces). spaced: the pattern joins a space to the following word (byte-level files);
-    otherwise letters are lower-cased and white space is dropped. Texts with characters beyond Latin
-    letters, whose classes differ between libraries, go to the tokenizer whole, and so do texts that hold an
-    added token's content (in any case), which the tokenizer finds before it cuts.
+    otherwise letters are lower-cased and white space is dropped. Whether the pattern is the file's own is tried on
+    all triples of KINDS and on every character; with another file's pattern all texts go to the tokenizer whole.
+    So do texts with characters beyond Latin letters, whose classes differ between libraries, and texts that hold
+    an added token's content (in any case), which the tokenizer finds before it cuts.
     """
 
     def __init__(self, path: str, spaced: bool, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids beyond 16 bits")
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced, self.limit = spaced, limit
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.sign = os.path.commonprefix(self.added)
         self.known: dict[str, bytes] = {}
+        self.cuts = True
+        tries = ["".join(x) for x in product(KINDS, repeat=3)] + [f"a{c}{c}b {c}c 1{c}" for c in map(chr, range(0x180)) if not BEYOND.search(c)]
+        own = self.tokenizer.encode_batch(tries, add_special_tokens=False)
+        self.cuts = all(self(t) == np.array(e.ids, self.dtype).tobytes() for t, e in zip(tries, own, strict=True))
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u2").tobytes() for p in pieces]
+        return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype).tobytes() for p in pieces]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         lower = text.lower()
-        if not text.isascii() and BEYOND.search(text) or self.sign in lower and any(content in lower for content in self.added):
+        if not self.cuts or not text.isascii() and BEYOND.search(text) or self.sign in lower and any(content in lower for content in self.added):
             return self._fresh([text])[0]
         if len(self.known) > self.limit:
             self.known.clear()

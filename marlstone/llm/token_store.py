@@ -1,7 +1,7 @@
 """Token-id files: each document compressed by itself with a shared zstandard dictionary, and an offset index.
 
-Layout of a file: magic, dictionary hash (32 bytes), then one zstandard frame for each document's ids
-(little-endian unsigned 16-bit), then the index (doc_id, frame's end, number of ids: three 64-bit integers a
+Layout of a file: magic, dictionary hash (32 bytes), bytes of an id (one byte), then one zstandard frame for each document's ids
+(little-endian unsigned 16-bit, or 32-bit where the vocabulary is larger), then the index (doc_id, frame's end, number of ids: three 64-bit integers a
 document), then the number of documents and the magic again. The dictionary lies beside the files under
 its hash. The manifest, a Parquet table written by Spark's committer, names the files that count: a lost
 or repeated task leaves a file that no manifest names.
@@ -29,6 +29,9 @@ from .common import bounded_batches, drop_path, file_system, scratch, spread, to
 
 MAGIC, NO_ID = b"MTOKENS1", -(1 << 63)
 INDEX = np.dtype([("doc_id", "<i8"), ("end", "<u8"), ("n", "<u8")])
+HEAD = len(MAGIC) + 32 + 1
+#: Bytes of text for one file, and bytes that a scan reads at once.
+FILE_BYTES, CHUNK = 64 << 20, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,8 @@ def train(docs: DataFrame, tokenizer_path: str, end_id: int, samples: int = 1_00
     """
     import zstandard
 
-    cache, end = token_cache(tokenizer_path, False), np.array([end_id], "<u2").tobytes()
+    cache = token_cache(tokenizer_path, False)
+    end = np.array([end_id], cache.dtype).tobytes()
     short = docs.where(F.length("text") <= longest)
     found = [cache(r.text) + end for r in short.orderBy(F.xxhash64("doc_id", "text")).select("text").limit(samples).toLocalIterator()]
     try:
@@ -56,7 +60,10 @@ def train(docs: DataFrame, tokenizer_path: str, end_id: int, samples: int = 1_00
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, parts: int | None = None) -> TokenStore:
-    """Write all documents in ascending doc_id order; files follow one another in that order."""
+    """Write all documents in ascending doc_id order; files follow one another in that order.
+
+    There are as many files as the texts' bytes ask for, and at least spark.sql.shuffle.partitions.
+    """
     import zstandard
 
     spark = docs.sparkSession
@@ -70,28 +77,32 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         out.write(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = token_cache(tokenizer_path, False), np.array([end_id], "<u2").tobytes()
+        cache = token_cache(tokenizer_path, False)
+        wide = cache.dtype.itemsize
+        end = np.array([end_id], cache.dtype).tobytes()
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        name, index, at, total, sink = f"{uuid.uuid4().hex}.tok", [], 40, 0, None
+        name, index, at, total, sink = f"{uuid.uuid4().hex}.tok", [], HEAD, 0, None
         fs, root = file_system(path)
         for batch in batches:
             if sink is None:
                 sink = fs.open_output_stream(f"{root}/data/{name}", compression=None)
-                sink.write(MAGIC + bytes.fromhex(digest))
+                sink.write(MAGIC + bytes.fromhex(digest) + bytes([wide]))
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = cache(text) + end
                 frame = press.compress(raw)
                 sink.write(frame)
                 at += len(frame)
-                total += len(raw) // 2
-                index.append((NO_ID if doc_id is None else doc_id, at, len(raw) // 2))
+                total += len(raw) // wide
+                index.append((NO_ID if doc_id is None else doc_id, at, len(raw) // wide))
         if sink is not None:
             sink.write(np.array(index, INDEX).tobytes() + struct.pack("<Q", len(index)) + MAGIC)
             sink.close()
             number = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"number": [number], "file": [name], "documents": [len(index)], "ids": [total]})
 
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(run, "number long, file string, documents long, ids long").write.parquet(f"{path}/manifest")
@@ -109,7 +120,7 @@ def open_store(spark: SparkSession, path: str) -> TokenStore:
 
 
 class TokenFile:
-    """One file: the index is read once, each document by its own range."""
+    """One file: the index is read once; then single documents or all of them."""
 
     def __init__(self, path: str, name: str, digest: str):
         import zstandard
@@ -122,20 +133,36 @@ class TokenFile:
         self.file = fs.open_input_file(f"{root}/data/{name}")
         size = self.file.size()
         tail = self.file.read_at(16, size - 16)
-        head = self.file.read_at(40, 0)
-        if tail[8:] != MAGIC or head != MAGIC + bytes.fromhex(digest):
+        head = self.file.read_at(HEAD, 0)
+        if tail[8:] != MAGIC or head[:-1] != MAGIC + bytes.fromhex(digest):
             raise ValueError(f"{name} is no whole token file of this dictionary")
         (n,) = struct.unpack("<Q", tail[:8])
+        self.wide = head[-1]
         self.index = np.frombuffer(self.file.read_at(n * INDEX.itemsize, size - 16 - n * INDEX.itemsize), INDEX)
         self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
 
     def __len__(self) -> int:
         return len(self.index)
 
+    def _ids(self, frame: bytes, k: int) -> np.ndarray:
+        return np.frombuffer(self.unpack.decompress(frame, max_output_size=self.wide * int(self.index["n"][k])), f"<u{self.wide}")
+
     def ids(self, k: int) -> np.ndarray:
-        start = int(self.index["end"][k - 1]) if k else 40
-        frame = self.file.read_at(int(self.index["end"][k]) - start, start)
-        return np.frombuffer(self.unpack.decompress(frame, max_output_size=2 * int(self.index["n"][k])), "<u2")
+        """One document, by its own range."""
+        start = int(self.index["end"][k - 1]) if k else HEAD
+        return self._ids(self.file.read_at(int(self.index["end"][k]) - start, start), k)
+
+    def scan(self) -> Iterator[np.ndarray]:
+        """All documents in order, from reads of CHUNK bytes or one document, whichever is more."""
+        ends = self.index["end"].astype(np.int64)
+        at, k = HEAD, 0
+        while k < len(ends):
+            last = max(k + 1, int(np.searchsorted(ends, at + CHUNK, "right")))
+            raw, base = self.file.read_at(int(ends[last - 1]) - at, at), at
+            for k in range(k, last):
+                yield self._ids(raw[at - base : int(ends[k]) - base], k)
+                at = int(ends[k])
+            k = last
 
 
 def read_tokens(spark: SparkSession, store: TokenStore) -> DataFrame:
@@ -151,8 +178,7 @@ def read_tokens(spark: SparkSession, store: TokenStore) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file, out = TokenFile(path, name, digest), []
-                for k in range(len(file)):
-                    ids = file.ids(k)
+                for k, ids in enumerate(file.scan()):
                     doc_id = int(file.index["doc_id"][k])
                     out.append((None if doc_id == NO_ID else doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
