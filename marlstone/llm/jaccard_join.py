@@ -14,7 +14,9 @@ copies has one component by then.
 
 Rarity comes from a sketch of fixed size that counts all shingles; any order would give the same result, the
 sketch only keeps frequent passages out of prefixes. Which texts take part in a verification is told by a bit
-table of fixed size, so that no whole-corpus exchange of texts is needed; false positives drop out in the join.
+table of eight bits or more for each of them, so that no whole-corpus exchange of texts is needed; false positives
+drop out in the join. The table is broadcast and at most 2^MOST_BITS bits large; beyond that it lets more pass.
+A tile of very many members is compared in blocks: its rows are dealt to several tasks, each of which meets all.
 
 Defined results: null, empty and wordless texts have an empty set and are their own component; a text of
 fewer words than a shingle is one shingle; repeated rows share a component; a null doc_id never represents a
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, drop_path, map_rows, shingles, stored, word_hashes
 
-SKETCH_BITS, NEED_BITS, LONGS, HUB_ROUNDS, HOT_SHARE = 19, 24, 8, 2, 1000
+SKETCH_BITS, LEAST_BITS, MOST_BITS, LONGS, HUB_ROUNDS, HOT_SHARE, BLOCK = 19, 20, 28, 8, 2, 1000, 2048
 
 
 @dataclass(frozen=True)
@@ -127,31 +129,31 @@ def measured(docs: DataFrame, near: Near, order: np.ndarray) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, set_id binary, bits array<long>, wide binary, prefix array<long>, band int", start)
 
 
-def needed(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size over hashed ids."""
-    place = ids.select(F.col("id").bitwiseAND((1 << NEED_BITS) - 1).alias("h"))
+def needed(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit table over hashed ids, and the logarithm of its size."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * ids.count()).bit_length()))
+    place = ids.select(F.col("id").bitwiseAND((1 << bits) - 1).alias("h"))
     rows = place.groupBy(F.expr("bitmap_bucket_number(h)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
-    table = np.zeros((1 << NEED_BITS) // 8 + 8192, np.uint8)
+    table = np.zeros((1 << bits) // 8 + 8192, np.uint8)
     for r in rows:  # bucket 0 holds place 0, bucket k the 32768 places from (k - 1) * 32768 + 1 on
         table[4096 * r.k : 4096 * (r.k + 1)] |= np.frombuffer(bytes(r.bits), np.uint8)
-    return table
+    return table, bits
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the rows that may be among the ids."""
     spark = docs.sparkSession
-    hashed = ids.select(F.expr("id & 9223372036854775807L").alias("id"))
-    shared = spark.sparkContext.broadcast(needed(hashed))
+    shared = spark.sparkContext.broadcast(needed(ids.select(F.expr("xxhash64(id)").alias("id"))))
     bounded_batches(spark)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, bits = shared.value
         for batch in batches:
-            x = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << NEED_BITS) - 1)
+            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << bits) - 1)
             bucket, bit = np.where(x == 0, 0, 1 + (x - 1) // 32768), np.where(x == 0, 0, (x - 1) % 32768)
-            yield batch.filter(pa.array((table[4096 * bucket + bit // 8] >> (bit % 8)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["doc_id", "text"]).filter(pa.array((table[4096 * bucket + bit // 8] >> (bit % 8)) & 1 == 1))
 
-    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
+    return docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(keep, "doc_id long, text string")
 
 
 def narrowed(pairs: DataFrame, own: DataFrame, near: Near) -> DataFrame:
@@ -171,7 +173,7 @@ def narrowed(pairs: DataFrame, own: DataFrame, near: Near) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
     """The pairs (a, b) whose whole texts are close enough."""
-    ids = pairs.selectExpr("explode(array(a, b)) AS id")
+    ids = pairs.selectExpr("explode(array(a, b)) AS id").distinct()
     texts = texts_of(docs, ids)
     both = pairs.join(texts.selectExpr("doc_id AS b", "text AS tb"), "b").join(texts.selectExpr("doc_id AS a", "text AS ta"), "a")
 
@@ -286,9 +288,10 @@ def _bound(near: Near) -> str:
 
 
 def _active(members: DataFrame) -> DataFrame:
-    """Tiles that hold two or more components, with the ends of the order of (component, representative)."""
+    """Tiles that hold two or more components, with the ends of the order of (component, representative) and the number of blocks."""
     pair = F.struct("comp", "rep")
-    return members.groupBy("key", "band").agg(F.min(pair).alias("lo"), F.max(pair).alias("hi")).where("lo.comp < hi.comp")
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    return members.groupBy("key", "band").agg(F.min(pair).alias("lo"), F.max(pair).alias("hi"), blocks).where("lo.comp < hi.comp")
 
 
 def _hub_pairs(members: DataFrame, own: DataFrame, near: Near, end: str) -> DataFrame:
@@ -302,9 +305,10 @@ def _hub_pairs(members: DataFrame, own: DataFrame, near: Near, end: str) -> Data
 
 
 def _cross_pairs(members: DataFrame, own: DataFrame, near: Near) -> DataFrame:
-    """All pairs of a tile in different components that the bound lets through."""
-    alive = _active(members).select("key", "band")
+    """All pairs of a tile in different components that the bound lets through. Each row of a tile is in one block and meets all other rows there."""
+    alive = _active(members).select("key", "band", "blocks")
     rows = members.join(alive, ["key", "band"]).join(own.selectExpr("doc_id AS rep", "n", "bits"), "rep")
-    x, y = rows.alias("x"), rows.alias("y")
-    on = [F.col("x.key") == F.col("y.key"), F.col("x.band") == F.col("y.band"), F.col("x.rep") < F.col("y.rep"), F.col("x.comp") != F.col("y.comp"), F.expr(_bound(near))]
+    x = rows.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) AS int)")).alias("x")
+    y = rows.withColumn("block", F.expr("explode(sequence(0, blocks - 1))")).alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "band", "block")] + [F.col("x.rep") < F.col("y.rep"), F.col("x.comp") != F.col("y.comp"), F.expr(_bound(near))]
     return x.join(y, on).selectExpr("x.rep AS a", "y.rep AS b").distinct()
