@@ -4,7 +4,7 @@ Words are runs of letters and digits, lower-cased; shingles are runs of three wo
 lengths, windows of a fixed number of words overlap by three quarters, so that one window holds the whole of
 a template's copy of up to three quarters of its length. With one row a band, a window retrieves a template of
 Jaccard similarity j with probability 1 - (1 - j) ** bands; `bands` is set so that this is at least `sure` at
-the least similarity that a whole copy in its window can have. A retrieved template counts where the window
+the least similarity that a copy in its window can have, the template's missing shingles counted in the union. A retrieved template counts where the window
 and its neighbours hold at least `contained` of the template's shingles, compared as text. Where templates of
 several licenses count at the same place (BSD-2 within BSD-3, versions of one notice), the one with most
 shingles there is taken and those with half of their places inside it are not.
@@ -111,7 +111,7 @@ class Scanner:
             while size * 3 < len(words) * 4:
                 size *= 2
             classes.setdefault(size, []).append(k)
-        least = min(math.ceil(len(self.templates[k][2]) * contained) / size for size, ks in classes.items() for k in ks)
+        least = min(math.ceil(t * contained) / (size + math.floor(t * (1 - contained))) for size, ks in classes.items() for t in (len(self.templates[k][2]) for k in ks))
         #: The fewest shingles of a text in which a class can be found.
         self.fewest = {size: min(math.ceil(len(self.templates[k][2]) * contained) for k in ks) for size, ks in classes.items()}
         self.bands = math.ceil(math.log(1 - sure) / math.log(1 - least))
