@@ -3,7 +3,8 @@
 Each record is a gzip member. The reader's tasks own byte ranges: a task looks for gzip's magic from the start
 of its range, validates a candidate by decoding it and parsing the WARC header, and reads the records that
 start inside the range one after another; the last may end beyond it. So a file of any size is read in
-parallel without an index.
+parallel without an index. Archives of other writers are read too: without a manifest (a folder or one file of
+gzip members), with any record ids and types, without digests, or with several records in a member.
 
 Equal payloads: the one with the largest page_id is the response, the others are revisits that name it. Only
 digests meet by key, in a partial aggregate; a digest of very many pages is a skewed key of one join, which
@@ -11,18 +12,22 @@ adaptive execution splits. Files are named once for each attempt and count only
 
 Defined results: null html counts as an empty payload; rows that repeat the largest page_id of a payload are
 all responses; a null page_id revisits a payload that has another page_id and is a response otherwise; null
-url is written as empty; an empty table gives an archive without files.
+url is written as empty; an empty table gives an archive without files. Of other writers' records, ids that are no
+page's are null as page_id, and a payload that differs from its digest is marked; in an archive with a manifest it
+is an error.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +35,7 @@ from .common import bounded_batches, file_system, scratch, spread
 
 MAGIC = b"\x1f\x8b\x08"
 HEAD, CHUNK = 8 << 10, 256 << 10
-FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-NAMES = [part.split()[0] for part in FIELDS.split(", ")]
+SIGN, PAGE = b"WARC/1.", "<urn:page:"
 
 
 def digest32(payload: bytes) -> str:
@@ -101,24 +105,26 @@ def header(text: bytes) -> dict[str, str] | None:
 
 
 def _member(file, at: int, size: int, only_head: bool) -> tuple[bytes, int] | None:
-    """The member that starts at `at` (or its first bytes) and its end; none where it doesn't decode."""
-    unpack, out, start = zlib.decompressobj(31), [], at
-    length = 0
+    """The member that starts at `at` (or as much as holds its header) and its end; none where it doesn't decode or begin as a record."""
+    unpack, out, start = zlib.decompressobj(31), bytearray(), at
     while at < size and not unpack.eof:
         raw = file.read_at(min(HEAD if only_head else CHUNK, size - at), at)
         try:
-            out.append(unpack.decompress(raw))
+            got = unpack.decompress(raw)
         except zlib.error:
             return None
-        length += len(out[-1])
+        known = max(0, len(out) - 3)
+        out += got
         at += len(raw)
-        if only_head and (b"\r\n\r\n" in b"".join(out) or length > 64 * HEAD):
-            return b"".join(out), start
-    return (b"".join(out), at - len(unpack.unused_data)) if unpack.eof or only_head else None
+        if len(out) >= len(SIGN) and not out.startswith(SIGN):
+            return None
+        if only_head and out.find(b"\r\n\r\n", known) >= 0:
+            return bytes(out), start
+    return (bytes(out), at - len(unpack.unused_data)) if unpack.eof else None
 
 
-def records(file, start: int, end: int, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and body of the records that start in [start, end)."""
+def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Place, header and body of the records whose members start in [start, end)."""
     at = start
     while at < end:  # the first true member
         raw = file.read_at(min(CHUNK, end - at) + len(MAGIC) - 1, at)
@@ -132,40 +138,92 @@ def records(file, start: int, end: int, size: int) -> Iterator[tuple[dict[str, s
         at += 1
     while at < end:
         got = _member(file, at, size, False)
-        fields = header(got[0]) if got else None
-        if fields is None:
+        if got is None:
             raise ValueError(f"no WARC record at byte {at}")
-        body = got[0].partition(b"\r\n\r\n")[2][: int(fields["content-length"])]
-        if len(body) != int(fields["content-length"]):
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, body
+        rest = got[0]
+        while rest:
+            fields = header(rest)
+            if fields is None:
+                raise ValueError(f"no WARC record in the member at byte {at}")
+            head = rest.index(b"\r\n\r\n") + 4
+            n = int(fields["content-length"])
+            if len(rest) < head + n:
+                raise ValueError(f"the record at byte {at} is cut off")
+            yield at, fields, rest[head : head + n]
+            rest = rest[head + n :].lstrip(b"\r\n")
         at = got[1]
 
 
-def _page(urn: str | None) -> int | None:
-    text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+def _payload(fields: dict[str, str], body: bytes) -> tuple[bytes | None, int | None]:
+    """A record's payload, none in a revisit, and its size as far as it's told."""
+    http = fields.get("content-type", "").startswith("application/http")
+    if not http or b"\r\n\r\n" not in body and not body.startswith(b"HTTP/"):
+        return (None, None) if fields["warc-type"] == "revisit" else (body, len(body))
+    head, _, payload = body.partition(b"\r\n\r\n")
+    if fields["warc-type"] != "revisit":
+        return payload, len(payload)
+    said = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+    return None, int(said[1]) if said else None
 
 
-def read_archive(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
-    """One row for each record: page, size and digest of its payload, type, and the record it refers to."""
-    files = spark.read.schema("file string, bytes long, records long").parquet(f"{path}/manifest").collect()
-    rows = [(f.file, f.bytes, at, min(f.bytes, at + split_bytes)) for f in files for at in range(0, f.bytes, split_bytes)]
+def _files(spark: SparkSession, path: str) -> tuple[list[tuple[str, int, int | None]], bool]:
+    """Path, size and number of records of the files that count, and whether a manifest names them."""
+    fs, root = file_system(path)
+    info = fs.get_file_info(f"{root}/manifest")
+    if info.type != pafs.FileType.NotFound:
+        rows = spark.read.schema("file string, bytes long, records long").parquet(f"{path}/manifest").collect()
+        return [(f"{path}/data/{r.file}", r.bytes, r.records) for r in rows], True
+    here = fs.get_file_info(root)
+    found = [here] if here.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    scheme = path[: path.index("://") + 3] if "://" in path else "file://"
+    return [(scheme + f.path, f.size, None) for f in found if f.type == pafs.FileType.File and f.path.endswith(".gz")], False
+
+
+def read_records(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """One row for each record of any type: its file and the place of its member there, id, type, URI, the id it refers to, content
+    type, payload size (null where a revisit doesn't tell) and digest (as stated, or computed), and whether the payload differs from it."""
+    files, own = _files(spark, path)
+    rows = [(name, size, at, min(size, at + split_bytes)) for name, size, _ in files for at in range(0, size, split_bytes)]
+    schema = "file string, at long, record_id string, record_type string, uri string, refers_to string, content_type string, payload_bytes long, payload_digest string, differs boolean"
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = (pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = file_system(path)
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
             for name, size, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                fs, place = file_system(name)
                 out = []
-                with fs.open_input_file(f"{root}/data/{name}") as file:
-                    for fields, body in records(file, start, end, size):
-                        http, _, payload = body.partition(b"\r\n\r\n")
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        n = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                        if fields["warc-type"] == "response" and (digest32(payload) != digest or len(payload) != n):
+                with fs.open_input_file(place) as file:
+                    for at, fields, body in records(file, start, end, size):
+                        payload, n = _payload(fields, body)
+                        stated = fields.get("warc-payload-digest", "")
+                        digest = digest32(payload) if payload is not None else stated.removeprefix("sha1:") or None
+                        differs = payload is not None and stated.startswith("sha1:") and stated[5:].upper() != digest
+                        if differs and own:
                             raise ValueError("a payload differs from its digest")
-                        out.append((_page(fields.get("warc-record-id")), n, digest, fields["warc-type"], _page(fields.get("warc-refers-to"))))
+                        get = fields.get
+                        out.append((name, at, get("warc-record-id"), fields["warc-type"], get("warc-target-uri"), get("warc-refers-to"), get("content-type"), n, digest, differs))
+                        if len(out) == 10_000:
+                            yield batch_of(out)
+                            out = []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=NAMES)
+                    yield batch_of(out)
 
-    return spread(spark, rows, "file string, bytes long, start long, end long").mapInArrow(run, FIELDS)
+    return spread(spark, rows, "file string, bytes long, start long, end long").mapInArrow(run, schema)
+
+
+def read_archive(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """One row for each response or revisit: page, size and digest of its payload, type, and the page it refers to."""
+    page = lambda c: f"cast(nullif(regexp_extract({c}, '^{PAGE}(-?[0-9]+)>$', 1), '') AS bigint)"
+    found = read_records(spark, path, split_bytes).where("record_type IN ('response', 'revisit')")
+    return found.selectExpr(f"{page('record_id')} AS page_id", "payload_bytes", "payload_digest", "record_type", f"{page('refers_to')} AS refers_to")
+
+
+def verify(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> None:
+    """Raises where a file holds another number of records than the manifest says."""
+    files, _ = _files(spark, path)
+    found = {r.file: r.n for r in read_records(spark, path, split_bytes).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for name, _, n in files:
+        if n is not None and found.get(name, 0) != n:
+            raise ValueError(f"{name} holds {found.get(name, 0)} records, not {n}")
