@@ -1,8 +1,8 @@
 """Quality rules as a ledger of failure bits, with versioned policies and ablations over the bits.
 
-ledger() measures each text and evaluates every rule once; bit k of `failed` is set where rule k fails.
-A policy is a mask of rules, so that another policy, or the effect of leaving a rule out, needs the ledger
-alone. Windows of words are compared by 64-bit hashes within one text.
+ledger() measures each text and evaluates every rule once; bit k of `failed` is set where rule k fails. The
+ledger is stored, as a DataFrame alone would measure all texts again for each use. A policy is a mask of rules, so
+that another policy, or the effect of leaving a rule out, reads the stored ledger alone. Windows of words are compared by 64-bit hashes within one text.
 
 Defined results: null and empty texts have no words and fail `few_words`; a null doc_id and repeated rows are
 rows as any other; other columns of the input don't reach the ledger; an empty table gives an empty ledger.
@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Rules in the order of their bits: name and failing condition over the measurements.
 RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 10"),
@@ -74,9 +76,14 @@ def ledger(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
     return measured(docs, carried).withColumn("failed", F.expr(bits))
 
 
+def stored_ledger(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """The ledger, written to the shared folder and read again: policies and ablations measure nothing."""
+    return stored(ledger(docs, carried), "ledger")[0]
+
+
 def filtered(docs: DataFrame, policy: Policy) -> DataFrame:
-    """The documents that the policy keeps, with their columns; the ledger is made beside them, without a join."""
-    return apply_policy(ledger(docs, "struct(*) AS row"), policy).where("kept").select("row.*")
+    """The documents that the policy keeps, with their columns. The stored ledger holds the rows too, so that no join is needed, nor an id that tells rows apart."""
+    return apply_policy(stored_ledger(docs, "struct(*) AS row"), policy).where("kept").select("row.*")
 
 
 def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:

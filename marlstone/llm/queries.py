@@ -36,9 +36,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["2"])
-    base = (1 << len(quality_rules.BASE)) - 1
-    return entries.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"failed & {base} != 0 AS base_failed", "kept")
+    """One stored ledger under two versions of the policy."""
+    entries = quality_rules.stored_ledger(table(spark, sf_dir, "documents"))
+    both = quality_rules.apply_policy(entries, quality_rules.POLICIES["1"]).withColumnRenamed("kept", "kept_by_1")
+    both = quality_rules.apply_policy(both, quality_rules.POLICIES["2"])
+    return both.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "NOT kept_by_1 AS base_failed", "kept")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does, from the stored bits alone."""
+    return quality_rules.ablations(quality_rules.stored_ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["2"])
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +72,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat": op10_chat,
+    "quality_ablations": quality_ablations,
 }
 
+#: The measurements of the quality rules.
+MEASURES = r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+        u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+        g AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER d || ' ' || lead(x, 2) OVER d || ' ' || lead(x, 3) OVER d || ' ' || lead(x, 4) OVER d AS g FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL),
+        r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM c, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY doc_id),
+        m AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+"""
+
 #: DuckDB SQL where it can express a query; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op2_warc": r"""
@@ -97,18 +116,19 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-            sum(length(r) + length(x) + length('<|im_start|>') + length('<|im_end|>') + 2)::BIGINT AS formatted_chars
+            sum(length(r) + length(x) + length('<|im_start|>') + length('<|im_end|>') + 2)::BIGINT AS formatted_chars, 0::BIGINT AS n_unlocated, false AS rewrites
         FROM e GROUP BY conv_id
     """,
-    "op7_quality_rules": r"""
-        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
-        u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
-        g AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER d || ' ' || lead(x, 2) OVER d || ' ' || lead(x, 3) OVER d || ' ' || lead(x, 4) OVER d AS g FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-        c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL),
-        r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM c, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY doc_id),
-        m AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+    "op7_quality_rules": MEASURES + r"""
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
             NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM m
     """,
+    "quality_ablations": MEASURES + r""",
+        bits AS (SELECT [n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > 3 * n_words, 10 * n_dup_lines > 3 * n_lines, word_chars < 2 * n_words, word_chars > 20 * n_words] AS f FROM m),
+        fails AS (SELECT f, len(list_filter(f, lambda x: x)) AS n FROM bits),
+        kept AS (SELECT count(*) AS n_documents, count(*) FILTER (n = 0) AS n_kept FROM fails),
+        names AS (SELECT unnest(['few_words', 'repeated_words', 'many_symbols', 'repeated_lines', 'short_words', 'long_words']) AS rule, unnest(range(1, 7)) AS i),
+        rules AS (SELECT rule, count(*) FILTER (f[i]) AS n_failed, count(*) FILTER (f[i] AND n = 1) AS n_alone FROM names, fails GROUP BY rule)
+        SELECT n_documents, n_kept, rule, n_failed, n_alone, n_kept + n_alone AS n_kept_without FROM rules, kept
+    """,
 }
