@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, L, BINS, LONG = 2, 2, 64, 24
+K, L, BINS, LONG = 2, 2, 64, 24  # thin bins are filled from two k-mers, so that L is two
 #: A place takes the low bits of a number, the bin the upper eight, a hash those between.
 PLACE_BITS = 30
 PLACE = (1 << PLACE_BITS) - 1
@@ -33,7 +33,7 @@ BUCKET_ROWS, SEGMENTS, SPLITS = 256, 64, 1_024
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `out`: bin and tuple hash of each bin's function, none for no words, as array<bigint>. The input must not use names that start with `_o`."""
     kept = [f"`{c}`" for c in df.columns]
-    df = df.selectExpr(*kept, rf"filter(split(coalesce({text}, ''), '[ \\t-\\r]+', -1), x -> x != '') AS _ow", rf"coalesce({text}, '') RLIKE '[^ \\t-\\r]{{{LONG + 1}}}' AS _ol")
+    df = df.selectExpr(*kept, rf"filter(split(coalesce({text}, ''), '[ \\t-\\r]+', -1), x -> x != '') AS _ow", rf"coalesce({text}, '') RLIKE '(?:^|[ \\t-\\r])[^ \\t-\\r]{{{LONG + 1}}}' AS _ol")
     df = df.selectExpr(*kept, f"CASE WHEN _ol THEN flatten(transform(_ow, x -> CASE WHEN length(x) > {LONG} THEN split(x, '') ELSE array(x) END)) ELSE _ow END AS _ow")
     df = df.selectExpr(*kept, "transform(_ow, x -> xxhash64(x)) AS _oh", "size(_ow) AS _on")
     grams = ", ".join(f"_oh[i + {j}]" for j in range(K))
@@ -44,9 +44,15 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.selectExpr(*kept, "_og", f"sort_array(flatten(transform(_ob, (b, j) -> transform(slice(_os, b + 1, coalesce(get(_ob, j + 1), size(_os)) - b), (x, o) -> {key})))) AS _oq")
     df = df.selectExpr(*kept, "_og", "_oq", f"filter(_oq, (x, i) -> i < {L} OR shiftright(get(_oq, i - {L}), 56) != shiftright(x, 56)) AS _ot")
     bins, full = f"sequence(0, {BINS - 1})", f"size(_ot) = {BINS * L}"
-    df = df.selectExpr(*kept, "_og", "_oq", f"CASE WHEN {full} THEN transform({bins}, b -> slice(_ot, b * {L} + 1, {L})) WHEN size(_ot) > 0 THEN transform({bins}, b -> filter(_ot, x -> shiftright(x, 56) = b)) ELSE cast(array() AS array<array<bigint>>) END AS _ob")
-    others = f"sort_array(transform(filter(_oq, x -> shiftright(x, 56) != b), x -> (xxhash64(x & {~PLACE}L, b) & {~PLACE}L) | (x & {PLACE}L)))"
-    df = df.selectExpr(*kept, "_og", f"transform(_ob, (own, b) -> CASE WHEN size(own) >= {L} THEN own ELSE concat(own, slice({others}, 1, {L} - size(own))) END) AS _ob")
+    df = df.selectExpr(*kept, "_og", "_oq", "_ot", f"CASE WHEN {full} THEN cast(array() AS array<bigint>) ELSE transform(_ot, x -> shiftright(x, 56)) END AS _oc")
+    at = "cast(array_position(_oc, cast(b AS bigint)) AS int)"
+    own = f"CASE WHEN {at} = 0 THEN cast(array() AS array<bigint>) ELSE filter(slice(_ot, {at}, {L}), x -> shiftright(x, 56) = b) END"
+    df = df.selectExpr(*kept, "_og", "_oq", f"CASE WHEN {full} THEN cast(array() AS array<bigint>) ELSE transform(_oq, x -> x & {~PLACE}L) END AS _oh", f"CASE WHEN {full} THEN transform({bins}, b -> slice(_ot, b * {L} + 1, {L})) WHEN size(_ot) > 0 THEN transform({bins}, b -> {own}) ELSE cast(array() AS array<array<bigint>>) END AS _ob")
+    # A thin bin has one k-mer or none of its own, so that two least of all by this function's hash are enough to fill it.
+    place = lambda m: f"get(_oq, cast(array_position(t, {m}) AS int) - 1)"
+    pair = f"transform(array(array_min(t)), m -> array({place('m')}, {place('array_min(array_remove(t, m))')}))[0]"
+    two = f"filter(transform(array(transform(_oh, y -> xxhash64(y, b))), t -> {pair})[0], x -> shiftright(x, 56) != b)"
+    df = df.selectExpr(*kept, "_og", f"transform(_ob, (own, b) -> CASE WHEN size(own) >= {L} THEN own ELSE concat(own, slice({two}, 1, {L} - size(own))) END) AS _ob")
     order = f"transform(sort_array(transform(own, x -> x & {PLACE}L)), p -> _og[cast(p AS int)])"
     return df.selectExpr(*kept, f"transform(_ob, (own, b) -> (b * {1 << 32}L) | (aggregate({order}, 0L, (a, x) -> xxhash64(a, x)) & {0xFFFFFFFF}L)) AS `{out}`")
 
@@ -65,7 +71,8 @@ def as_text(a: str) -> Column:
 def buckets(df: DataFrame, key: str, tie: str, bucket_rows: int = BUCKET_ROWS) -> Column:
     """A number that ascends with (key, tie) and gives about equal groups.
 
-    Quantile segments of the key are each cut evenly by value. A key that holds a segment or more by itself, as null
+    Quantile segments of the key are each cut evenly by value; quantiles are exact up to 2^53, where ids end, and at the
+    number that stands for null. A key that holds a segment or more by itself, as null
     ids may, is cut by its tie, a hash, instead.
     """
     row = df.agg(F.count(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.percentile_approx(key, [k / SEGMENTS for k in range(1, SEGMENTS)], 2_000).alias("q")).first()
@@ -97,7 +104,7 @@ def with_edits(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     Rows meet by bucket of the id order. A sentinel in each bucket stands for the first row of the next one
     (of the first, in the last), so that no window spans all rows.
     """
-    keyed = docs.selectExpr("doc_id", "coalesce(text, '') AS text", f"coalesce(doc_id, {-(1 << 63) + 1}L) AS k")
+    keyed = docs.selectExpr("doc_id", "coalesce(text, '') AS text", f"coalesce(doc_id, {-(1 << 63)}L) AS k")
     keyed = keyed.withColumn("tie", F.xxhash64("text")).withColumn("bucket", buckets(keyed, "k", "tie", bucket_rows))
     firsts = keyed.groupBy("bucket").agg(F.min(F.struct("k", "tie")).alias("f"))
     every = Window.orderBy("bucket")
