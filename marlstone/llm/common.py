@@ -6,6 +6,7 @@ import atexit
 import os
 import re
 import shutil
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -108,6 +109,7 @@ LETTERS, NUMBERS, BLANKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACED = re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 WORDS = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+BLANK_SPACE = [f"{c} " for c in "\t\n\x0b\x0c\r \x85\xa0"]
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 
@@ -118,8 +120,8 @@ KINDS = ["a", "Z", "\u00e9", "7", "\u00b2", " ", "\n", "\t", "\u00a0", "\x85", "
 class TokenCache:
     """Ids of whole texts by a `tokenizers` file, as little-endian bytes of `dtype` (16 bits, or 32 for large vocabularies).
 
-    A text is cut where the tokenizer's own pattern cuts it, and each piece is encoded once and remembered
-    (at most `limit` pieces). spaced: the pattern joins a space to the following word (byte-level files);
+    A text is cut where the tokenizer's own pattern cuts it, and each piece is encoded once and remembered, as is
+    each sequence of pieces between spaces (at most `limit` of both). spaced: the pattern joins a space to the following word (byte-level files);
     otherwise letters are lower-cased and white space is dropped. Whether the pattern is the file's own is tried on
     all triples of KINDS and on every character; with another file's pattern all texts go to the tokenizer whole.
     So do texts with characters beyond Latin letters, whose classes differ between libraries, and texts that hold
@@ -134,30 +136,56 @@ class TokenCache:
         self.spaced, self.limit = spaced, limit
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.sign = os.path.commonprefix(self.added)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by pieces
+        self.words: dict[str, bytes] = {}  # by what stands between spaces
         self.cuts = True
         tries = ["".join(x) for x in product(KINDS, repeat=3)] + [f"a{c}{c}b {c}c 1{c}" for c in map(chr, range(0x180)) if not BEYOND.search(c)]
         own = self.tokenizer.encode_batch(tries, add_special_tokens=False)
         self.cuts = all(self(t) == np.array(e.ids, self.dtype).tobytes() for t, e in zip(tries, own, strict=True))
 
-    def _fresh(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype).tobytes() for p in pieces]
+    def _fresh(self, piece: str) -> bytes:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         lower = text.lower()
         if not self.cuts or not text.isascii() and BEYOND.search(text) or self.sign in lower and any(content in lower for content in self.added):
-            return self._fresh([text])[0]
+            return self._fresh(text)
         if len(self.known) > self.limit:
             self.known.clear()
-        pieces = (SPACED if self.spaced else WORDS).findall(text if self.spaced else lower)
+        if not self.spaced:
+            return self._chunks(lower.split(" "), "")
+        if any(blank in text for blank in BLANK_SPACE):
+            return self._pieces(text)
+        first, *rest = text.split(" ")
+        return self._pieces(first) + self._chunks(rest, " ")
+
+    def _chunks(self, chunks: list[str], before: str) -> bytes:
+        """Ids of what stands between spaces, each with its space in `before`. A space that follows no blank always begins a piece."""
+        known = self.words
+        if len(known) > self.limit:
+            known.clear()
+        got = list(map(known.get, chunks))
+        if None in got:
+            for i, c in enumerate(chunks):
+                if got[i] is None:
+                    got[i] = found = self._pieces(before + c)
+                    if len(c) < 100:
+                        known[c] = found
+        return b"".join(got)
+
+    def _pieces(self, text: str) -> bytes:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        pieces = (SPACED if self.spaced else WORDS).findall(text)
         get = self.known.get
         got = [get(p) for p in pieces]
         if None in got:
             for i, p in enumerate(pieces):
                 if got[i] is None:
-                    got[i] = get(p) or self._fresh([p])[0]
+                    got[i] = get(p) or self._fresh(p)
                     if len(p) < 100:
                         self.known[p] = got[i]
         return b"".join(got)

@@ -53,22 +53,25 @@ def solve(columns: np.ndarray, histogram: np.ndarray, rounds: int = 40, close: f
     steepest columns keeps x sparse, with counts large enough to survive rounding. Ends when no step reaches `close`.
     """
     size, target = len(histogram), histogram.astype(float)
-    flat, there = columns.ravel(), columns > 0
-    a, b, c = columns.T
-    norm = 1.0 + (b > 0) + (c > 0) + 2 * (a == b) + 2 * ((b == c) & there[:, 2]) + 2 * (a == c)
+    a, b, c = (np.ascontiguousarray(x) for x in columns.T)
+    norm = 1.0 + (b > 0) + (c > 0) + 2 * (a == b) + 2 * ((b == c) & (c > 0)) + 2 * (a == c)
     jitter = 1 + 1e-9 * np.arange(len(columns)) / max(1, len(columns))
     x = np.zeros(len(columns))
     for _ in range(rounds):
-        short = target - np.bincount(flat, np.repeat(x, 3), size)
+        short = target - np.bincount(a, x, size) - np.bincount(b, x, size) - np.bincount(c, x, size)
         short[0] = 0  # no third
-        step = np.maximum(-x, short[columns].sum(1) / norm)
-        if np.abs(step).max(initial=0) < close:
+        step = np.maximum(-x, (short[a] + short[b] + short[c]) / norm)
+        at = np.flatnonzero(np.abs(step) >= close)
+        if not len(at):
             break
-        gain = step * step * norm * jitter
+        step, i, j, k = step[at], a[at], b[at], c[at]
+        gain = step * step * norm[at] * jitter[at]
         best = np.zeros(size)
-        np.maximum.at(best, flat, np.repeat(gain, 3))
-        first = ((best[columns] <= gain[:, None]) | ~there).all(1) & (gain > 0)
-        x[first] += step[first]
+        for rows in (i, j, k):
+            np.maximum.at(best, rows, gain)
+        best[0] = 0
+        first = (best[i] <= gain) & (best[j] <= gain) & (best[k] <= gain)
+        x[at[first]] += step[first]
     return x
 
 
