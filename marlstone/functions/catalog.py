@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Callable
+from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,11 +25,34 @@ def known(kind: str, name: str, table: dict) -> str:
 
 
 def literal(value, kind: T.DataType | None = None) -> Column:
-    """A literal typed by the column it meets, or else by its own look."""
+    """A literal for the column it meets, or else typed by its own look.
+
+    A number meets a column of numbers as a number, whole or decimal as it is written, so that the comparison runs in
+    the wider type. Text that is no value of the column's type is refused, as it would silently match nothing.
+    """
     if value is None:
         return F.lit(None)
     if isinstance(kind, T.StringType):
         return F.lit(str(value))
+    if isinstance(kind, T.NumericType):
+        text = str(value).strip()
+        if isinstance(value, bool) or not NUMBER.fullmatch(text):
+            raise PlanError(f"{value!r} is no number, but the column is {kind.simpleString()}")
+        if re.fullmatch(r"[+-]?\d+", text):
+            return F.lit(int(text)) if abs(int(text)) < 1 << 63 else F.lit(Decimal(text))
+        exact = not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType)
+        return F.lit(Decimal(text)) if exact and "e" not in text.lower() else F.lit(float(text))
+    if isinstance(kind, T.BooleanType):
+        if str(value).strip().lower() not in ("true", "false"):
+            raise PlanError(f"{value!r} is not true or false")
+        return F.lit(str(value).strip().lower() == "true")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) and isinstance(value, str):
+        try:
+            datetime.fromisoformat(value.strip())
+        except ValueError:
+            raise PlanError(f"{value!r} is no date or time") from None
+        # a time meets a date as a time; a date meets a time as its midnight
+        return F.lit(value.strip()).cast(T.TimestampNTZType() if isinstance(kind, T.DateType) and len(value.strip()) > 10 else kind)
     if kind is not None:
         return F.lit(value).cast(kind) if not isinstance(value, str) else F.lit(value).try_cast(kind)
     if isinstance(value, str):
@@ -39,6 +64,9 @@ def literal(value, kind: T.DataType | None = None) -> Column:
     return F.lit(value)
 
 
+NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?")
+
+
 def items(value) -> list:
     return [x.strip() if isinstance(x, str) else x for x in (re.split("[,;]", value) if isinstance(value, str) else value)]
 
@@ -53,7 +81,7 @@ def _bounds(value) -> list:
 _in = lambda c, v, t: c.isin(*[literal(x, t) for x in items(v)])
 _between = lambda c, v, t: c.between(*[literal(x, t) for x in _bounds(v)])
 Builder = Callable[[Column, object, "T.DataType | None"], Column]
-#: name: (takes a value, builder)
+#: The names of the grammar. name: (takes a value, builder)
 PREDICATES: dict[str, tuple[bool, Builder]] = {
     "is_null": (False, lambda c, v, t: c.isNull()),
     "is_not_null": (False, lambda c, v, t: c.isNotNull()),
@@ -74,6 +102,7 @@ PREDICATES: dict[str, tuple[bool, Builder]] = {
     "like": (True, lambda c, v, t: c.like(str(v))),
     "not_like": (True, lambda c, v, t: ~c.like(str(v))),
 }
+#: Other names that the grammar allows.
 ALIASES = {
     "eq": "equals", "=": "equals", "ne": "not_equals", "!=": "not_equals", "gt": "greater_than", ">": "greater_than", "lt": "less_than", "<": "less_than",
     "gte": "greater_than_equal", ">=": "greater_than_equal", "lte": "less_than_equal", "<=": "less_than_equal", "notcontains": "not_contains", "notlike": "not_like",
@@ -127,7 +156,7 @@ def apply_op(c: Column, spec: str, kind: T.DataType | None = None, raw_sql: bool
     if name == "expr" and not raw_sql:
         raise PlanError("raw SQL is not allowed here")
     if name == "nvl":
-        return F.coalesce(c, literal(rest, kind))
+        return F.coalesce(c, literal(rest, kind).cast(kind) if kind is not None else literal(rest))
     return build(c, *args)
 
 

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.catalog import PlanError
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first."""
 
 
 class SnapshotTable:
-    """A Parquet table as immutable snapshots; the newest entry of the log is the table. A batch id is applied once."""
+    """A Parquet table as immutable snapshots; the newest entry of the log is the table. A batch id is applied once.
+
+    An entry of the log is a file named by its version alone, which only one writer can create: of two that read the same
+    log the later one fails with Conflict, and its data stays outside the table. The entry holds the snapshot's name and
+    the batch id as JSON, so that a batch id may hold any text.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -19,16 +35,23 @@ class SnapshotTable:
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
     def log(self) -> list[tuple[int, str, str]]:
+        """Version, snapshot and batch of each entry, oldest first."""
         fs, at = self._fs(f"{self.path}/_log")
         if not fs.exists(at):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted((int(n.split("~")[0]), n.split("~")[1], n.split("~")[2]) for n in names if not n.startswith("."))
-
-    def _commit(self, snapshot: str, batch: str) -> None:
-        version = self.log()[-1][0] + 1 if self.log() else 0
-        fs, at = self._fs(f"{self.path}/_log/{version}~{snapshot}~{batch}")
-        fs.create(at, False).close()
+        rows = self.spark.read.format("text").option("wholetext", True).load(f"{self.path}/_log/*.json").selectExpr("value", "_metadata.file_name AS name").collect()
+        found = [(int(r.name.removesuffix(".json")), json.loads(r.value)) for r in rows if r.value]
+        return sorted((version, e["snapshot"], e["batch"]) for version, e in found)
+
+    def _commit(self, snapshot: str, batch: str, version: int) -> None:
+        text = json.dumps({"snapshot": snapshot, "batch": batch}).encode()
+        fs, at = self._fs(f"{self.path}/_log/{version}.json")
+        try:
+            out = fs.create(at, False)  # succeeds for one writer alone
+        except Py4JJavaError as e:
+            raise Conflict(f"version {version} of {self.path} is there already") from e
+        out.write(bytearray(text))
+        out.close()
 
     def exists(self) -> bool:
         return bool(self.log())
@@ -40,22 +63,26 @@ class SnapshotTable:
             parts = [*parts, name] if name.startswith("a") else [name]
         return self.spark.read.parquet(*[f"{self.path}/{n}" for n in parts])
 
-    def overwrite(self, df: DataFrame, batch: str = "") -> None:
-        """An empty result replaces the table too."""
-        name = f"s{uuid.uuid4().hex}"
+    def _next(self, log: list) -> int:
+        return log[-1][0] + 1 if log else 0
+
+    def overwrite(self, df: DataFrame, batch: str = "", log: list | None = None) -> None:
+        """An empty result replaces the table too. log: what the caller read before; a commit since then is a conflict."""
+        log, name = self.log() if log is None else log, f"s{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        self._commit(name, batch)
+        self._commit(name, batch, self._next(log))
 
     def append(self, df: DataFrame, batch: str = "") -> None:
-        if batch and any(b == batch for _, _, b in self.log()):
+        log = self.log()
+        if batch and any(b == batch for _, _, b in log):
             return
-        if self.exists():
+        if log:
             name = f"a{uuid.uuid4().hex}"
             have = self.read()
             df.select(*[df[c].cast(t).alias(c) for c, t in have.dtypes]).write.parquet(f"{self.path}/{name}")
-            self._commit(name, batch)
+            self._commit(name, batch, self._next(log))
         else:
-            self.overwrite(df, batch)
+            self.overwrite(df, batch, log)
 
     def optimize(self, columns: list[str], files: int) -> None:
         """Rewrites the table as one snapshot, ranged and sorted by columns, for scans that skip row groups."""
@@ -68,14 +95,36 @@ class SnapshotTable:
         return out
 
     def upsert(self, df: DataFrame, keys: list[str], batch: str = "", sequence_by: str | None = None) -> None:
-        """Rows replace those of equal keys; of equal keys in a batch the last by sequence_by (any, without it) stays. Null keys match nothing."""
-        if batch and any(b == batch for _, _, b in self.log()):
+        """Rows replace those of equal keys; of equal keys in a batch the last by sequence_by (any, without it) stays. A null in a key equals nothing, so that such rows are all kept."""
+        log = self.log()
+        if batch and any(b == batch for _, _, b in log):
             return
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        odd, df = df.where(~whole), df.where(whole)
         if sequence_by:
             df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(sequence_by).desc()))).filter("_rn = 1").drop("_rn")
         else:
             df = df.dropDuplicates(keys)
-        self.overwrite(self.read().join(df, keys, "left_anti").unionByName(df) if self.exists() else df, batch)
+        new = df.unionByName(odd)
+        self.overwrite(self.read().join(df, keys, "left_anti").unionByName(new) if log else new, batch, log)
+
+    def vacuum(self) -> int:
+        """Deletes snapshots that the table no longer needs; readers of older versions must be done. Returns how many."""
+        fs, at = self._fs(self.path)
+        needed: list[str] = []
+        for _, name, _ in self.log():
+            needed = [*needed, name] if name.startswith("a") else [name]
+        gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName()[:1] in "as" and s.getPath().getName() not in needed]
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
+
+    def repair(self) -> None:
+        """Removes an entry that a writer claimed and never wrote, which makes all later commits conflicts."""
+        fs, at = self._fs(f"{self.path}/_log")
+        for s in fs.listStatus(at):
+            if s.getLen() == 0:
+                fs.delete(s.getPath(), False)
 
     def drop(self) -> None:
         fs, at = self._fs(self.path)
@@ -89,18 +138,53 @@ def to_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **opti
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
-def split(df: DataFrame, column: str, path: str) -> None:
-    """One folder for each value, in one job."""
+def split(df: DataFrame, column: str, path: str, values: list | None = None) -> None:
+    """One folder for each value (of `values`, where given), in one job."""
+    if df.isStreaming:
+        raise PlanError("a stream can't be split")
+    df = df if values is None else df.where(F.col(column).isin(*values))
     df.write.partitionBy(column).mode("overwrite").parquet(path)
 
 
-def stream_into(stream: DataFrame, table: SnapshotTable, checkpoint: str, keys: list[str] | None = None, sequence_by: str | None = None) -> None:
-    """What is there now: append, or upsert where keys are given. A repeated batch changes nothing."""
+def trigger(text: str) -> dict:
+    """`available_now`, or `interval:<duration>` such as `interval:30 seconds`."""
+    if text == "available_now":
+        return {"availableNow": True}
+    name, _, span = text.partition(":")
+    if name != "interval" or not re.fullmatch(r"\s*\d+\s*(ms|milliseconds?|s|seconds?|m|minutes?|h|hours?)\s*", span):
+        raise PlanError(f"a trigger is available_now or interval:<duration>, not {text!r}")
+    number, unit = re.fullmatch(r"\s*(\d+)\s*(\w+)\s*", span).groups()
+    return {"processingTime": f"{number} {({'ms': 'milliseconds', 's': 'seconds', 'm': 'minutes', 'h': 'hours'}).get(unit, unit)}"}
+
+
+def checkpoint_of(spark: SparkSession, schema: str, name: str, root: str | None = None) -> str:
+    """{root}/{schema}/{table}; without a root (given, or spark.checkpoint.dir) it's an error before anything starts."""
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise PlanError(f"a stream into {schema}.{name} needs a checkpoint root")
+    return f"{root.rstrip('/')}/{schema}/{name}"
+
+
+def full_refresh(table: SnapshotTable, checkpoint: str) -> None:
+    """Forgets what a stream has read and what it has written."""
+    fs, at = table._fs(checkpoint)
+    fs.delete(at, True)
+    table.drop()
+
+
+def stream_into(stream: DataFrame, table: SnapshotTable, checkpoint: str, keys: list[str] | None = None, sequence_by: str | None = None, when: str = "available_now") -> StreamingQuery | None:
+    """Append, or upsert where keys are given. A repeated batch changes nothing: batches count by the stream's own id, which lies
+    in its checkpoint, so that another stream, or the same after a reset, is not taken for a repeat. With an interval the running query is returned."""
 
     def write(batch: DataFrame, number: int) -> None:
+        name = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}/{number}"
         if keys:
-            table.upsert(batch, keys, str(number), sequence_by)
+            table.upsert(batch, keys, name, sequence_by)
         else:
-            table.append(batch, str(number))
+            table.append(batch, name)
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger(when)).start()
+    if when != "available_now":
+        return query
+    query.awaitTermination()
+    return None

@@ -6,6 +6,7 @@ partials, tables, joins, where, where_groups, rules, add_columns, select or aggr
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -13,13 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalog import PlanError, aggregate, apply_op, known, predicate
+from ..functions.catalog import ALIASES, OPS, PREDICATES, PlanError, aggregate, apply_op, known, predicate
 from ..sources.readers import read_source
 
+#: Join types of the grammar, written with blanks, underscores, hyphens or joined.
 JOINS = {
-    "inner": "inner", "left": "left", "left outer": "left", "left_outer": "left", "right": "right", "right outer": "right", "full": "full", "outer": "full",
-    "full outer": "full", "left_semi": "left_semi", "semi": "left_semi", "left_anti": "left_anti", "anti": "left_anti", "cross": "cross",
+    "inner": "inner", "left": "left", "leftouter": "left", "right": "right", "rightouter": "right", "full": "full", "outer": "full", "fullouter": "full",
+    "leftsemi": "left_semi", "semi": "left_semi", "leftanti": "left_anti", "anti": "left_anti", "cross": "cross",
 }
+#: Keys of a declaration.
 TOP = {
     "tables", "partials", "join", "joins", "where", "where_groups", "business_rules", "add_columns", "select_final", "keep_all_columns", "aggregate", "sink",
     "allow_raw_sql", "dev_limit", "materialization", "data_product", "semantic",
@@ -46,15 +49,16 @@ def parse_filter(spec) -> tuple[str, str, object]:
         if spec.startswith("sql:"):
             return "", "sql", spec[4:]
         column, _, rest = spec.partition(":")
-        op, _, value = rest.partition(":")
-        return column, op, value or None
+        op, colon, value = rest.partition(":")
+        return column, op, value if colon else None
     ((column, value),) = spec.items()
     if isinstance(value, dict):
         ((op, value),) = value.items()
         return column, op, value
     if value is None:
         return column, "is_null", None
-    return (column, value, None) if value in ("is_null", "is_not_null") else (column, "equals", value)
+    bare = isinstance(value, str) and value in PREDICATES and not PREDICATES[value][0]
+    return (column, value, None) if bare else (column, "equals", value)
 
 
 class Pipeline:
@@ -67,6 +71,7 @@ class Pipeline:
             raise PlanError("select_final excludes keep_all_columns and aggregate")
         self.spark, self.spec, self.frames, self.rules, self.loaders, self.dev = spark, spec, frames or {}, rules or {}, loaders or {}, dev
         self.raw_sql = spec.get("allow_raw_sql", True)
+        check_ops(spec)
 
     def _condition(self, df: DataFrame, spec) -> Column:
         column, op, value = parse_filter(spec)
@@ -109,7 +114,7 @@ class Pipeline:
             return F.when(self._when(df, c, kind, ops[0][5:]), self._value(c, ops[1].removeprefix("then:"), kind)).otherwise(self._value(c, ops[2].removeprefix("else:"), kind)).alias(target)
         for op in ops:
             c = apply_op(c, op, kind, self.raw_sql)
-            kind = None if str(op).partition(":")[0] in ("cast", "length", "to_date", "expr", "col", "lit", "split") else kind
+            kind = df.select(c.alias(target)).schema[0].dataType  # of the chain so far
         return c.alias(target)
 
     def _when(self, df: DataFrame, c: Column, kind, test: str) -> Column:
@@ -145,22 +150,49 @@ class Pipeline:
         limit = t.get("dev_limit", self.spec.get("dev_limit"))
         return select(df.limit(limit) if self.dev and limit else df)
 
-    def run(self) -> DataFrame:
+    def _partial(self, p: dict, inside: tuple[str, ...]) -> DataFrame:
+        """A child pipeline: inline, as a view of its alias, or as a table of its alias that later runs replace."""
+        alias, mode = p["alias"], p.get("mode", "inline")
+        known("partial mode", mode, dict.fromkeys(("inline", "temp_view", "table")))
+        path = os.path.realpath(p["path"]) if "spec" not in p else None
+        if path in inside:
+            raise PlanError(f"partials contain themselves: {' > '.join([*inside, path])}")
+        if path:
+            with open(path, encoding="utf-8") as f:
+                child = load(f.read())
+        else:
+            child = p["spec"]
+        df = Pipeline(self.spark, child, self.frames, self.rules, self.loaders, self.dev).run((*inside, path) if path else inside)
+        if mode == "temp_view":
+            df.createOrReplaceTempView(alias)
+        elif mode == "table":
+            if df.isStreaming:
+                raise PlanError("a stream can't be a partial of mode table")
+            df.write.mode("overwrite").saveAsTable(alias)
+            df = self.spark.table(alias)
+        return df
+
+    def run(self, inside: tuple[str, ...] = ()) -> DataFrame:
         spec, dfs = self.spec, {}
         for p in spec.get("partials") or []:
-            child = p["spec"] if "spec" in p else load(open(p["path"]).read())
-            dfs[p["alias"]] = Pipeline(self.spark, child, self.frames, self.rules, self.loaders, self.dev).run()
-            if p.get("mode") == "temp_view":
-                dfs[p["alias"]].createOrReplaceTempView(p["alias"])
+            if p["alias"] in dfs:
+                raise PlanError(f"alias {p['alias']} is taken")
+            dfs[p["alias"]] = self._partial(p, inside)
         for t in spec.get("tables") or []:
             alias = t.get("alias") or t["name"]
             if alias in dfs:
                 raise PlanError(f"alias {alias} is taken")
             dfs[alias] = self._table(t)
         joins = spec.get("join") or spec.get("joins") or []
-        df = dfs[joins[0]["table_from"][0] if joins else next(iter(dfs))]
+        base = joins[0]["table_from"][0] if joins else next(iter(dfs))
+        df, hidden, sides = dfs[base], {}, {base}
         for j in joins:
-            df = join(df, dfs[j["table_to"][0]], j)
+            source, to = (known("alias", j[k][0], dfs) for k in ("table_from", "table_to"))
+            if source not in sides or to in sides:
+                raise PlanError(f"a join goes from a table that is there to one that isn't; not from {source} to {to}")
+            df, hidden = join(df, dfs[to], j, hidden)
+            sides.add(to)
+        df = df.drop(*hidden.values())
         df = self._any(self._every(df, spec.get("where")), spec.get("where_groups"))
         df = run_rules(df, [(n, *self.rules[known("rule", n, self.rules)]) for n in spec.get("business_rules") or []])
         for entry in spec.get("add_columns") or []:
@@ -188,30 +220,82 @@ def latest(df: DataFrame, by: list[str], order, descending: bool = False) -> Dat
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*cols))).filter("_rn = 1").drop("_rn")
 
 
-def join(left: DataFrame, right: DataFrame, j: dict) -> DataFrame:
-    """Equal names give one key column; others are compared and the right ones dropped, after filling the left's in right and full joins."""
-    how = JOINS[known("join type", str(j.get("type", "left")).lower(), JOINS)]
+def join(left: DataFrame, right: DataFrame, j: dict, hidden: dict[tuple[str, str], str] | None = None):
+    """Equal names give one key column; others are compared and the right ones dropped, after filling the left's in right and full joins.
+
+    With `hidden`, which maps (alias, key) of dropped keys to columns that hold them, the result is the frame with these
+    columns still there, so that a later join can start from them, and the new mapping.
+    """
+    how = JOINS[known("join type", re.sub("[ _-]", "", str(j.get("type", "left")).lower()), JOINS)]
+    if left.isStreaming and (right.isStreaming or how not in ("inner", "left")) or right.isStreaming and not left.isStreaming:
+        raise PlanError("a stream is joined as the left side, inner or left, with a table")
+    kept = dict(hidden or {})
+    visible = {*left.columns} - {*kept.values()}
     if how == "cross":
-        return left.crossJoin(right)
-    lk, rk = (([k] if isinstance(k, str) else k) for k in (j["table_from"][1], j["table_to"][1]))
+        lk = rk = []
+    else:
+        lk, rk = (([k] if isinstance(k, str) else list(k)) for k in (j["table_from"][1], j["table_to"][1]))
     if len(lk) != len(rk):
         raise PlanError("join keys differ in number")
-    clash = ({*left.columns} & {*right.columns}) - ({*lk} if lk == rk else set())
+    clash = (visible & {*right.columns}) - ({*lk} if lk == rk else set())
     if clash and how not in ("left_semi", "left_anti"):
         raise PlanError(f"both sides have {', '.join(sorted(clash))}; name them apart with fields")
-    if lk == rk:
-        return left.join(right, lk, how)
-    df = left.join(right, reduce(lambda a, b: a & b, [left[a] == right[b] for a, b in zip(lk, rk, strict=True)]), how)
-    if how in ("left_semi", "left_anti"):
-        return df
-    if how in ("right", "full"):
-        df = df.withColumns({a: F.coalesce(left[a], right[b]) for a, b in zip(lk, rk, strict=True)})
-    return df.drop(*rk)
+    at = [k if k in visible else kept.get((j["table_from"][0], k), k) for k in lk]
+    if how == "cross":
+        df = left.crossJoin(right)
+    elif at == rk:
+        df = left.join(right, rk, how)
+    else:
+        df = left.join(right, reduce(lambda a, b: a & b, [left[a] == right[b] for a, b in zip(at, rk, strict=True)]), how)
+        if how not in ("left_semi", "left_anti"):
+            to = j["table_to"][0]
+            names = {k: f"_{to}_{k}_{len(kept)}" for k in rk}
+            if how in ("right", "full"):
+                df = df.withColumns({a: F.coalesce(left[a], right[b]) for a, b in zip(at, rk, strict=True)})
+            df = df.withColumnsRenamed(names)
+            kept |= {(to, k): n for k, n in names.items()}
+    return (df, kept) if hidden is not None else df.drop(*kept.values())
+
+
+def check_ops(spec: dict) -> None:
+    """Operations and their arguments, before anything is read."""
+
+    def chain(ops) -> None:
+        for op in [ops] if isinstance(ops, str) else ops or []:
+            if isinstance(op, str) and not op.startswith(("when:", "then:", "else:")):
+                name, _, rest = op.partition(":")
+                least = OPS[known("operation", ALIASES.get(name, name), OPS)][0]
+                if (len(rest.split(",")) if rest else 0) < least:
+                    raise PlanError(f"operation {name} needs {least} argument(s)")
+
+    for e in [f for t in spec.get("tables") or [] for f in t.get("fields") or []] + [*(spec.get("select_final") or []), *(spec.get("add_columns") or [])]:
+        chain(e.get("ops") if isinstance(e, dict) else e[2] if not isinstance(e, str) and len(e) > 2 else None)
+
+
+def limited(df: DataFrame, n: int) -> tuple[list, bool]:
+    """At most n rows, and whether there were more."""
+    rows = df.limit(n + 1).collect()
+    return rows[:n], len(rows) > n
+
+
+def _reads(df: DataFrame, rule: tuple) -> set[str]:
+    """Columns a rule reads; where its source can't be had, any: it then runs by itself."""
+    from .describe import profile
+
+    found = profile(*rule).reads
+    return found if found is not None else _All()
+
+
+class _All(set):
+    def __and__(self, other):
+        return {*other}
 
 
 def run_rules(df: DataFrame, rules: list[tuple]) -> DataFrame:
-    """(name, kind, function[, agg_keys]): neighbouring projections become one select, aggregations of equal keys one groupBy."""
-    k = 0
+    """(name, kind, function[, agg_keys]): each after those it needs; neighbouring projections become one select, aggregations of equal keys one groupBy."""
+    from .describe import ordered
+
+    rules, k = ordered(rules), 0
     while k < len(rules):
         kind = rules[k][1]
         if kind == "transform":
@@ -226,12 +310,8 @@ def run_rules(df: DataFrame, rules: list[tuple]) -> DataFrame:
                 k += 1
                 if {*made} & {*df.columns}:
                     break
-                ahead = df.withColumns(new)
-                if k < len(rules) and rules[k][1] == "projection" and ahead.columns != df.columns:
-                    try:
-                        rules[k][2](df)
-                    except Exception:  # it reads a column made here
-                        break
+                if k < len(rules) and rules[k][1] == "projection" and _reads(df, rules[k]) & {*new}:
+                    break
             df = df.withColumns(new)
         elif kind == "aggregation":
             keys, aggs = sorted(rules[k][3]), {}

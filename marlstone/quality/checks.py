@@ -44,11 +44,18 @@ def tagged(df: DataFrame, rules: dict[str, Column], run_id: str, version: str) -
 
 
 def parity(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keyed comparison: one row for each key that differs, with the side that lacks it and the columns that differ (null-safe)."""
-    rest = [c for c in a.columns if c in b.columns and c not in keys]
+    """Keyed comparison: one row for each key that differs, with the side that lacks it and the columns that differ.
+
+    Keys and values are compared null-safe. Columns of one side only differ where they hold a value. A key of several
+    rows is one row for each pair of them.
+    """
+    rest = [c for c in dict.fromkeys([*a.columns, *b.columns]) if c not in keys]
+    a, b = (df.withColumns({c: F.lit(None).cast(other.schema[c].dataType) for c in rest if c not in df.columns}) for df, other in ((a, b), (b, a)))
     x = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in rest], F.lit(True).alias("in_a"))
     y = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in rest], F.lit(True).alias("in_b"))
-    both = x.join(y, keys, "full")
+    x, y = x.select(F.struct(*keys).alias("_k"), *[c for c in x.columns if c not in keys]), y.select(F.struct(*keys).alias("_k"), *[c for c in y.columns if c not in keys])
+    both = x.join(y.withColumnRenamed("_k", "_j"), F.col("_k").eqNullSafe(F.col("_j")), "full").withColumn("_k", F.coalesce("_k", "_j"))
+    both = both.select("_k.*", *[c for c in both.columns if c not in ("_k", "_j")])
     differ = F.concat_ws(",", *[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in rest])
     state = F.when(F.col("in_b").isNull(), "only_a").when(F.col("in_a").isNull(), "only_b").otherwise("differs")
     return both.select(*keys, state.alias("state"), F.when(state == "differs", differ).otherwise("").alias("columns")).filter("state != 'differs' OR columns != ''")
@@ -58,3 +65,14 @@ def multiset_hash(df: DataFrame) -> DataFrame:
     """Row count and an order-free hash of all rows."""
     h = F.xxhash64(*df.columns)
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h.cast("decimal(38,0)")).alias("hash"))
+
+
+def parity_report(a: DataFrame, b: DataFrame, keys: list[str]) -> dict:
+    """Row counts, columns of one side, types that differ, and the number of keys in each state."""
+    types = [dict(df.dtypes) for df in (a, b)]
+    states = {r.state: r["count"] for r in parity(a, b, keys).groupBy("state").count().collect()}
+    hashes = [multiset_hash(df.select(sorted(df.columns))).first() for df in (a, b)]
+    return {
+        "rows": [h.n_rows for h in hashes], "only_a": sorted({*types[0]} - {*types[1]}), "only_b": sorted({*types[1]} - {*types[0]}),
+        "types": {c: (t, types[1][c]) for c, t in types[0].items() if c in types[1] and types[1][c] != t}, "states": states, "equal_rows": types[0] == types[1] and hashes[0] == hashes[1],
+    }

@@ -21,14 +21,14 @@ MOVES = {None: {"NEW"}, "NEW": {"ACK", "ASSIGNED", "RESOLVED"}, "ACK": {"ASSIGNE
 
 
 class RunStore:
-    """Events of runs; the clock of a run never stands still."""
+    """Events of runs; the clock of a run never stands still, whoever recorded its last event."""
 
     def __init__(self, table: SnapshotTable):
-        self.table, self.last = table, {}
+        self.table = table
 
     def record(self, run_id: str, product: str, version: str, state: str, at: datetime, results: list[Result] = ()) -> datetime:
-        at = max(at, self.last.get(run_id, datetime.min) + timedelta(microseconds=1)) if run_id in self.last else at
-        self.last[run_id] = at
+        last = self.table.read().where(F.col("run_id") == run_id).agg(F.max("at").alias("at")).first().at if self.table.exists() else None
+        at = at if last is None else max(at, last + timedelta(microseconds=1))
         failed = [r.name for r in results if r.critical and r.status in ("FAIL", "ERROR")]
         self.table.append(self.table.spark.createDataFrame([(run_id, product, version, state, at, failed)], RUNS))
         return at
@@ -40,13 +40,14 @@ class RunStore:
 
 
 class Incidents:
-    """One for each critical check that fails; the newest row of an id is its state."""
+    """One for each critical check that fails; the newest row of an id is its state, and of equal times the one furthest on."""
 
     def __init__(self, table: SnapshotTable):
         self.table = table
 
     def current(self) -> DataFrame:
-        w = Window.partitionBy("incident_id").orderBy(F.col("at").desc())
+        steps = F.create_map(*[F.lit(x) for k, s in enumerate(("NEW", "ACK", "ASSIGNED", "RESOLVED")) for x in (s, k)])
+        w = Window.partitionBy("incident_id").orderBy(F.col("at").desc(), steps[F.col("state")].desc(), F.col("who").desc())
         return self.table.read().withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
     def open(self, product: str, run_id: str, results: list[Result], at: datetime) -> list[str]:

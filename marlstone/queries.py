@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.catalog import PlanError
 from .operators import candidates, search, usage
-from .operators.tables import SnapshotTable, stream_into
+from .operators.tables import SnapshotTable, split, stream_into
 from .plans import analyzer, views
 from .plans.pipeline import Pipeline
 from .quality import checks, monitor, registry
 from .semantic import governance
 from .semantic.model import Catalog, Dimension, Metric, Model, Query, Relationship
-from .sources.readers import explode_union, union
+from .sources.readers import explode_union, read_source, union, union_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,13 +84,13 @@ for _op, _col, _ops, _sql in [
 ]:
     _pipeline(f"op_{_op}", f"SELECT o_orderkey, {_sql} AS v FROM orders", _t("orders"), select_final=[["o_orderkey", "o_orderkey"], [_col, "v", _ops]])
 
-_small = [_t("orders", filter=["o_orderkey:lte:2000"], fields=["o_orderkey", "o_custkey"]), _t("customer", filter=["c_nationkey:lt:12"], fields=["c_custkey", "c_name"])]
+_small = [_t("orders", fields=["o_orderkey", "o_custkey"]), _t("customer", filter=["c_nationkey:lt:12"], fields=["c_custkey", "c_name"])]
 for _how, _sql in [
     ("inner", "SELECT o_orderkey, o_custkey, c_name FROM o JOIN c ON o_custkey = c_custkey"), ("left", "SELECT o_orderkey, o_custkey, c_name FROM o LEFT JOIN c ON o_custkey = c_custkey"),
     ("right", "SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_name FROM o RIGHT JOIN c ON o_custkey = c_custkey"), ("full", "SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_name FROM o FULL JOIN c ON o_custkey = c_custkey"),
     ("semi", "SELECT o_orderkey, o_custkey FROM o WHERE o_custkey IN (SELECT c_custkey FROM c)"), ("anti", "SELECT o_orderkey, o_custkey FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c)"),
 ]:
-    _pipeline(f"join_{_how}", f"WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <= 2000), c AS (SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 12) {_sql}", *_small, join=[{"table_from": ["orders", "o_custkey"], "table_to": ["customer", "c_custkey"], "type": _how}])
+    _pipeline(f"join_{_how}", f"WITH o AS (SELECT o_orderkey, o_custkey FROM orders), c AS (SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 12) {_sql}", *_small, join=[{"table_from": ["orders", "o_custkey"], "table_to": ["customer", "c_custkey"], "type": _how}])
 _pipeline("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region", _t("nation", fields=["n_name"]), _t("region", fields=["r_name"]), join=[{"table_from": ["nation", None], "table_to": ["region", None], "type": "cross"}])
 _pipeline("join_same_keys", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) JOIN (SELECT r_regionkey AS k, r_name FROM region) USING (k)", _t("nation", fields=[["n_regionkey", "k"], "n_name"]), _t("region", fields=[["r_regionkey", "k"], "r_name"]), join=[{"table_from": ["nation", "k"], "table_to": ["region", "k"], "type": "inner"}])
 _pipeline("join_composite", "SELECT a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_tax FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity > 48", _t("lineitem", alias="a", filter=["l_quantity:gt:48"], fields=["l_orderkey", "l_linenumber", "l_quantity"]), _t("lineitem", alias="b", fields=["l_orderkey", "l_linenumber", "l_tax"]), join=[{"table_from": ["a", ["l_orderkey", "l_linenumber"]], "table_to": ["b", ["l_orderkey", "l_linenumber"]], "type": "inner"}])
@@ -144,17 +148,25 @@ def partial_inline(spark, d):
     return Pipeline(spark, {"partials": [{"alias": "rich", "spec": child}], "aggregate": {"group_by": ["c_nationkey"], "measures": [["*", "n", "count"]]}}).run()
 
 
-def _folder(spark, tag):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
+_own: list[str] = []
+
 
+def _folder(spark, tag):
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise PlanError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="marlstone-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        base = "file://" + _own[0]
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-@query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 def split_fanout(spark, d):
     path = _folder(spark, "split")
-    _read(spark, d, "lineitem").where("l_returnflag IN ('A', 'R')").write.partitionBy("l_returnflag").parquet(path)
+    split(_read(spark, d, "lineitem"), "l_returnflag", path)
     return spark.read.parquet(path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -282,14 +294,21 @@ def _near(spark, d):
     return search.top(e.crossJoin(F.broadcast(q.limit(1))).select(F.col(key).alias("doc_id"), search.cosine(F.col(vec), F.col("q")).alias("score")), "doc_id", "score", 20)
 
 
-@query()
+_COSINE = """c AS (SELECT e.vec_id AS doc_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
+    near AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM c QUALIFY rank <= 20)"""
+
+
+@query(f"WITH {_COSINE} SELECT doc_id, round(score, 6) AS score, rank FROM near")
 def cosine_topk(spark, d):
-    return _near(spark, d)
+    return _near(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query("WITH scored AS (" + ORACLES["bm25_search"].replace("round(sum(", "sum(").replace("), 6) AS score", ") AS score") + f"""),
+    best AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM scored QUALIFY rank <= 20), {_COSINE},
+    fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM best UNION ALL SELECT doc_id, rank FROM near) GROUP BY 1)
+    SELECT doc_id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM fused QUALIFY rank <= 10""")
 def rrf_hybrid(spark, d):
-    return search.top(search.fuse([search.top(_ranked(spark, d), "doc_id", "score", 20), _near(spark, d)], "doc_id"), "doc_id", "score", 10)
+    return search.top(search.fuse([search.top(_ranked(spark, d), "doc_id", "score", 20), _near(spark, d)], "doc_id"), "doc_id", "score", 10).withColumn("score", F.round("score", 9))
 
 
 @query("WITH e AS (SELECT o_custkey AS a, -o_orderkey AS b FROM orders WHERE o_totalprice >= 50000), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d1 AS (SELECT DISTINCT b AS n FROM b WHERE a = 1), d2 AS (SELECT DISTINCT b.b AS n FROM b JOIN d1 ON b.a = d1.n) SELECT node, min(distance)::INT AS distance FROM (SELECT 1 AS node, 0 AS distance UNION ALL SELECT n, 1 FROM d1 UNION ALL SELECT n, 2 FROM d2) GROUP BY 1")
@@ -298,11 +317,12 @@ def graph_neighbors(spark, d):
     return search.neighbours(e, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
+def _sources(d, *names):
+    return {n: {"type": "parquet", "path": f"{d}/{n}.parquet"} for n in names or ("orders", "customer", "nation", "region", "lineitem")}
+
+
 def _drafted(spark, d, sql):
-    found = analyzer.draft(spark, sql)
-    for t in found.spec["tables"]:
-        t["source"] = {"type": "parquet", "path": f"{d}/{t['name']}.parquet"}
-    return Pipeline(spark, found.spec).run()
+    return analyzer.run_draft(spark, analyzer.draft(spark, sql), _sources(d))
 
 
 _AGGREGATED = "SELECT c.c_mktsegment AS segment, count(*) AS n, max(o.o_totalprice) AS top FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus <> 'P' AND c.c_acctbal > 0 GROUP BY c.c_mktsegment HAVING count(*) > 2"
@@ -427,3 +447,129 @@ def candidate_drift(spark, d):
     e = _read(spark, d, "events").selectExpr("event_type AS metric", "ts", "value > 50 AS fell_back")
     names = e.select("metric").distinct().withColumn("certified", F.lit(True)).unionByName(spark.createDataFrame([("idle", True), ("open", False)], "metric string, certified boolean"))
     return candidates.drift(e, names, "ts", "2024-01-10", "2024-01-12")
+
+
+_NUMBERED = "SELECT x.o_custkey, x.o_orderkey, x.o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders WHERE o_orderstatus <> 'P') x WHERE x.rn = 1 AND x.o_totalprice > 1000"
+_CTE = "WITH rich AS (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000 AND c_mktsegment <> 'o.x') SELECT o.o_orderkey, r.c_name FROM orders o JOIN rich r ON o.o_custkey = r.c_custkey WHERE o.o_totalprice > 100000"
+_UNION = "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey AS k, r_name AS name FROM region WHERE r_name <> 'ASIA'"
+_DISTINCT = "SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 50000"
+_SHARE = "SELECT c_custkey, round(c_acctbal / (SELECT sum(c_acctbal) FROM customer), 12) AS share, (SELECT max(c_acctbal) FROM customer) AS top, (SELECT sum(c_acctbal) FROM customer) > 0 AS positive FROM customer"
+
+
+@query(_NUMBERED)
+def sql_draft_row_number(spark, d):
+    return _drafted(spark, d, _NUMBERED)
+
+
+@query(_CTE)
+def sql_draft_cte(spark, d):
+    return _drafted(spark, d, _CTE)
+
+
+@query(_UNION)
+def sql_draft_union(spark, d):
+    return analyzer.run_draft(spark, analyzer.branches(spark, _UNION), _sources(d))
+
+
+@query(_DISTINCT)
+def sql_draft_distinct(spark, d):
+    return _drafted(spark, d, _DISTINCT)
+
+
+@query(_SHARE)
+def sql_draft_totals(spark, d):
+    return _drafted(spark, d, _SHARE)
+
+
+#: Customers with nulls, blanks, tabs and negative numbers in every third, fifth and seventh row.
+_GAPS = "SELECT c_custkey, {null3} AS name, {null5} AS balance, {pad} AS padded FROM customer"
+_GAPS_SPARK = _GAPS.format(null3="CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END", null5="CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal - 3000 END", pad="CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('  ', c_mktsegment, ' ') END")
+
+
+def _gaps(spec_sql: str, table: dict | None = None, **spec):
+    def run(spark, d):
+        df = _read(spark, d, "customer")
+        df.createOrReplaceTempView("customer_rows")
+        rows = spark.sql(_GAPS_SPARK.replace("FROM customer", "FROM customer_rows"))
+        path = _folder(spark, "gaps")
+        rows.write.parquet(path)
+        return Pipeline(spark, {"tables": [{"name": "g", "source": {"type": "parquet", "path": path}, **(table or {})}], **spec}).run()
+
+    return run, f"WITH g AS ({_GAPS_SPARK}) {spec_sql}"
+
+
+for _key, _sql_text, _table, _spec in [
+    ("gaps_is_null", "SELECT * FROM g WHERE name IS NULL", {"filter": ["name:is_null"]}, {}),
+    ("gaps_is_not_null", "SELECT * FROM g WHERE name IS NOT NULL", {"filter": [{"name": "is_not_null"}]}, {}),
+    ("gaps_not_like", "SELECT * FROM g WHERE name NOT LIKE '%1%'", {"filter": ["name:not_like:%1%"]}, {}),
+    ("gaps_not_in", "SELECT * FROM g WHERE name NOT IN ('Customer#000000001', 'x')", {"filter": ["name:not_in:Customer#000000001,x"]}, {}),
+    ("gaps_empty_text", "SELECT * FROM g WHERE padded = ''", {"filter": ["padded:equals:"]}, {}),
+    ("gaps_decimal_literal", "SELECT * FROM g WHERE c_custkey < 3.5 OR c_custkey BETWEEN 10.5 AND 12.5", {"filter_groups": [["c_custkey:lt:3.5"], ["c_custkey:between:10.5,12.5"]]}, {}),
+    ("gaps_drop_nulls", "SELECT * FROM g WHERE name IS NOT NULL AND balance IS NOT NULL", {"quality_checks": {"drop_nulls_in": ["name", "balance"]}}, {}),
+    ("gaps_ops", "SELECT c_custkey, coalesce(name, 'none') AS name, coalesce(CAST(CAST(balance AS BIGINT) AS VARCHAR), '5') AS text, coalesce(balance, 0) AS balance, abs(balance) AS size, trim(padded) AS trimmed FROM g", {}, {"select_final": [["c_custkey", "c_custkey"], ["name", "name", ["nvl:none"]], ["balance", "text", ["round:0", "cast:bigint", "cast:string", "nvl:5"]], ["balance", "balance", ["coalesce:0"]], ["balance", "size", ["abs"]], ["padded", "trimmed", ["trim"]]]}),
+]:
+    if _key == "gaps_ops":
+        _sql_text = _sql_text.replace("CAST(CAST(balance AS BIGINT) AS VARCHAR)", "CAST(CAST(round(balance, 0) AS BIGINT) AS VARCHAR)")
+    QUERIES[_key], ORACLES[_key] = _gaps(_sql_text, _table, **_spec)
+
+
+@query("SELECT n_nationkey::VARCHAR AS k, n_name AS name, o AS origin FROM nation, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS o) UNION ALL SELECT NULL, n_name, 'text' FROM nation")
+def file_sources(spark, d):
+    n, base = _read(spark, d, "nation").selectExpr("cast(n_nationkey AS string) AS k", "n_name AS name"), _folder(spark, "files")
+    parts = []
+    for kind, options in (("csv", {"header": "true"}), ("json", {}), ("orc", {}), ("parquet", {})):
+        n.write.format(kind).options(**options).save(f"{base}/{kind}")
+        parts.append(read_source(spark, {"type": kind, "path": f"{base}/{kind}", "options": options}).selectExpr("cast(k AS string) AS k", "name", f"'{kind}' AS origin"))
+    n.select("name").write.text(f"{base}/text")
+    return union([*parts, read_source(spark, {"type": "text", "path": f"{base}/text"}).selectExpr("value AS name", "'text' AS origin")])
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, count(*) FROM nation GROUP BY 1")
+def loader_and_union(spark, d):
+    df = _read(spark, d, "nation")
+    for k in (1, 2):
+        df.createOrReplaceTempView(f"nation_{k}")
+
+    def load(spark, names):
+        found, missing = union_tables(spark, names)
+        return found.groupBy("n_regionkey").agg((F.count(F.lit(1)) / 2).cast("bigint").alias("n"))
+
+    spec = {"tables": [{"name": "nations", "source_type": "loader", "function_name": "both", "arguments": {"names": ["nation_1", "nation_2", "no_such_table"]}}]}
+    once = Pipeline(spark, spec, loaders={"both": load}).run()
+    return once.unionByName(once)
+
+
+@query("SELECT n_name, r_name, c_name FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON n_nationkey = c_nationkey WHERE r_regionkey < 3")
+def join_chained(spark, d):
+    """The second join starts from the base's key, which the first one keeps; the right keys are gone at the end."""
+    src = lambda n: {"type": "parquet", "path": f"{d}/{n}.parquet"}
+    tables = [{"name": "nation", "source": src("nation"), "fields": ["n_nationkey", "n_regionkey", "n_name"]}, {"name": "region", "source": src("region"), "filter": ["r_regionkey:lt:3"]}, {"name": "customer", "source": src("customer"), "fields": ["c_nationkey", "c_name"]}]
+    join = [{"table_from": ["region", "r_regionkey"], "table_to": ["nation", "n_regionkey"], "type": "left-outer"}, {"table_from": ["nation", "n_nationkey"], "table_to": ["customer", "c_nationkey"], "type": "inner"}]
+    return Pipeline(spark, {"tables": tables, "join": join}).run().select("n_name", "r_name", "c_name")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'only_a' ELSE 'differs' END AS state, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'extra' END AS columns FROM (SELECT o_orderkey FROM orders UNION ALL SELECT NULL) WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
+def parity_null_keys(spark, d):
+    a = _read(spark, d, "orders").select("o_orderkey", "o_custkey").unionByName(spark.createDataFrame([(None, 1)], "o_orderkey bigint, o_custkey bigint"))
+    b = a.where("o_orderkey IS NULL OR o_orderkey % 7 != 0").withColumn("extra", F.expr("CASE WHEN o_orderkey % 11 = 0 THEN 1 END"))
+    return checks.parity(a, b, ["o_orderkey"])
+
+
+@query("SELECT l_returnflag, l_linestatus, true AS near FROM lineitem GROUP BY ALL")
+def approx_within_bounds(spark, d):
+    """The estimate against the exact count, within three of its standard deviations of 5 %."""
+    made = QUERIES["agg_approx_count_distinct"](spark, d)
+    exact = _read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count_distinct("l_suppkey").alias("n"))
+    return made.join(exact, ["l_returnflag", "l_linestatus"]).select("l_returnflag", "l_linestatus", (F.abs(F.col("v") - F.col("n")) <= 0.15 * F.col("n")).alias("near"))
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation UNION ALL SELECT n_regionkey, n_nationkey + 100, n_name FROM nation")
+def stream_two_sources(spark, d):
+    """Two streams into one table: batch 0 of the second is no repeat of the first one's."""
+    base, s = _stream(spark, d)
+    table = SnapshotTable(spark, f"{base}/out")
+    rows = s.select(F.col("n_regionkey").cast("bigint"), F.col("n_nationkey").cast("bigint"), "n_name")
+    stream_into(rows, table, f"{base}/cp1")
+    stream_into(rows.withColumn("n_nationkey", F.col("n_nationkey") + 100), table, f"{base}/cp2")
+    stream_into(rows, table, f"{base}/cp1")
+    return table.read()

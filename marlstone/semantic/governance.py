@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -12,19 +14,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .model import METRICS, Dimension, Metric, Model
+from ..functions.catalog import PlanError, known
+from .model import METRICS, Dimension, Metric, Model, Query
 
 #: Decisions of each mode on an asset that isn't certified.
 GATE = {"off": "ALLOW", "warn": "WARN", "enforce": "DENY", "supervised": "REQUIRE_HUMAN"}
+STRICT = ["ALLOW", "WARN", "REQUIRE_HUMAN", "DENY"]
+SCOPE = "certification_override"
 LONGEST_OVERRIDE = timedelta(hours=4)
 
 
 @dataclass(frozen=True)
 class Override:
+    """Who (actor) lets whom (consumer) read a model without certification, when and why; the consumer's scopes must hold SCOPE."""
+
     model: str
     consumer: str
     start: datetime
     end: datetime
+    reason: str = ""
+    actor: str = ""
 
 
 def gate(mode: str, model: str, consumer: str, certified_at: datetime | None, now: datetime, oldest: timedelta | None = None, overrides: list[Override] = ()) -> str:
@@ -47,6 +56,46 @@ def lifecycle(contract: dict, now: datetime) -> str:
     return "WARN" if contract.get("deprecated") else "ALLOW"
 
 
+class Access:
+    """Decides on each model of a query by certification and contract, and keeps evidence of what was asked.
+
+    certified: model to the time of its last certification; contracts: model to its contract. DENY and REQUIRE_HUMAN
+    refuse the query; the decision is the strictest of all models.
+    """
+
+    def __init__(self, mode: str, certified: dict[str, datetime], contracts: dict[str, dict] | None = None, overrides: list[Override] = (), oldest: timedelta | None = None, clock: Callable[[], datetime] = datetime.now):
+        self.mode, self.certified, self.contracts, self.oldest, self.clock = known("gate mode", mode, GATE), certified, contracts or {}, oldest, clock
+        self.overrides = list(overrides)
+        for o in self.overrides:
+            if not (o.reason and o.actor):
+                raise PlanError(f"the override of {o.model} tells no reason or actor")
+        self.trace: list[dict] = []
+
+    def decide(self, models: list[str], consumer: dict | None) -> str:
+        who, now = (consumer or {}).get("id", ""), self.clock()
+        scoped = self.overrides if SCOPE in (consumer or {}).get("scopes", ()) else []
+        found = [gate(self.mode, m, who, self.certified.get(m), now, self.oldest, scoped) for m in models]
+        found += [lifecycle(self.contracts[m], now) for m in models if m in self.contracts]
+        return max(found, key=STRICT.index)
+
+    def asked(self, q: Query, consumer: dict | None, plan: Callable) -> DataFrame:
+        began, seen = time.perf_counter(), {"decision": None, "models": []}
+
+        def check(models: list[str]) -> None:
+            seen.update(decision=self.decide(models, consumer), models=models)
+            if seen["decision"] in ("DENY", "REQUIRE_HUMAN"):
+                raise PlanError(f"{', '.join(models)}: {seen['decision']}")
+
+        status, text = "refused", ""
+        try:
+            df, _ = plan(check)
+            status, text = "planned", df._jdf.queryExecution().analyzed().canonicalized().toString()
+            return df
+        finally:
+            told = evidence(text, seen["models"], q.metrics, q.filters, status, time.perf_counter() - began)
+            self.trace.append(told | {"decision": seen["decision"], "consumer": (consumer or {}).get("id")})
+
+
 def evidence(sql: str, sources: list[str], metrics: list[str], filters: list[tuple], status: str, seconds: float) -> dict:
     """What a query did, without the values of its filters."""
     return {"sql_hash": hashlib.sha256(sql.encode()).hexdigest(), "sources": sorted(sources), "metrics": sorted(metrics), "filters": [f"{f[0]} {f[1]} ?" for f in filters], "status": status, "seconds": seconds}

@@ -12,10 +12,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import PlanError, known, predicate
+from ..functions.catalog import PlanError, items, known, predicate
+from ..plans.pipeline import limited
 
+#: Metric types, filter operators, the directions of a path that repeat rows, and the limits of what is read.
 METRICS = {"sum": F.sum, "count_distinct": F.count_distinct, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max}
 OPS = {"eq": "equals", "neq": "not_equals", "gt": "greater_than", "lt": "less_than", "gte": "greater_than_equal", "lte": "less_than_equal", "like": "like", "in": "in", "is_null": "is_null", "is_not_null": "is_not_null"}
+MAX_ROWS, MAX_FILTERS, MAX_FILTER_TEXT, MAX_MODELS = 1_000, 50, 1_024, 32
 REPEATS = {(True, "one_to_many"), (True, "many_to_many"), (False, "many_to_one"), (False, "many_to_many")}
 
 
@@ -68,8 +71,10 @@ class Query:
 
 
 class Catalog:
-    def __init__(self, models: list[Model]):
-        self.models = {m.name: m for m in models}
+    """access, where given, is asked for each query which of its models the consumer may read (governance.Access)."""
+
+    def __init__(self, models: list[Model], access: object | None = None):
+        self.models, self.access = {m.name: m for m in models}, access
 
     def path(self, root: str, to: str, depth: int = 4) -> list[tuple[str, Relationship, bool]]:
         """The only shortest path; an edge backwards only where it is one to one."""
@@ -100,13 +105,40 @@ class Catalog:
             raise PlanError(f"dimension {name} is in {', '.join(owners)}; say which")
         return owners[0], self.models[owners[0]].dimensions[name]
 
+    def read(self, q: Query, tables: dict[str, DataFrame], consumer: dict | None = None, limit: int = MAX_ROWS) -> tuple[list, bool]:
+        """At most `limit` rows, never more than MAX_ROWS, and whether there were more."""
+        if limit < 1:
+            raise PlanError("a limit is one row or more")
+        return limited(self.query(q, tables, consumer), min(limit, MAX_ROWS))
+
+    def view(self, name: str, q: Query, tables: dict[str, DataFrame], consumer: dict | None = None) -> DataFrame:
+        """A temporary view of what a query gives."""
+        df = self.query(q, tables, consumer)
+        df.createOrReplaceTempView(name)
+        return df
+
     def query(self, q: Query, tables: dict[str, DataFrame], consumer: dict | None = None) -> DataFrame:
+        """The query's rows; allowed and refused queries both leave their evidence with `access`."""
+        if self.access is None:
+            return self._planned(q, tables, consumer)[0]
+        return self.access.asked(q, consumer, lambda check: self._planned(q, tables, consumer, check))
+
+    def _planned(self, q: Query, tables: dict[str, DataFrame], consumer: dict | None = None, check=None) -> tuple[DataFrame, list[str]]:
+        """The frame and the models it reads; check is called with the models before anything is built."""
+        if len(q.filters) > MAX_FILTERS:
+            raise PlanError(f"more than {MAX_FILTERS} filters")
+        if any(isinstance(v, str) and len(v) > MAX_FILTER_TEXT for f in q.filters for x in f[2:] for v in (x if isinstance(x, (list, tuple)) else [x])):
+            raise PlanError(f"a filter's text is longer than {MAX_FILTER_TEXT}")
         root = self.models[known("model", q.model, self.models)]
         metrics = [root.metrics[known("metric", m, root.metrics)] for m in q.metrics]
         dims = [(n, *self.resolve(root.name, n)) for n in q.group_by]
         tests = [(self.resolve(root.name, f[0]), *f[1:]) for f in q.filters]
         others = [m for m in dict.fromkeys([d[1] for d in dims] + [t[0][0] for t in tests]) if m != root.name]
         steps = {s[0]: (prev, s) for o in others for path in [self.path(root.name, o)] for prev, s in zip([root.name, *(x[0] for x in path)], path, strict=False)}
+        if len(steps) + 1 > MAX_MODELS:
+            raise PlanError(f"more than {MAX_MODELS} models")
+        if check:
+            check([root.name, *steps])
         for name, (_, (_, r, forward)) in steps.items():
             if metrics and (r.cardinality in ("unknown", "many_to_many") or (forward, r.cardinality) in REPEATS):
                 raise PlanError(f"the path to {name} repeats rows ({r.cardinality})")
@@ -142,7 +174,34 @@ class Catalog:
                 value = F.when(at(root.name, f), value)
             aggs.append(METRICS[known("metric type", m.type, METRICS)](value).alias(m.name))
         keys = [at(model, d.sql).alias(n.split(".")[-1]) for n, model, d in dims]
-        return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+        return (df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()), [root.name, *steps]
+
+    def sql(self, q: Query) -> str:
+        """The query over one model as ANSI SQL text, without consumer: what has joins, periods or a row policy is refused."""
+        root = self.models[known("model", q.model, self.models)]
+        if root.row_policy or q.period or any(self.resolve(root.name, n)[0] != root.name for n in [*q.group_by, *(f[0] for f in q.filters)]):
+            raise PlanError("joins, named periods and row policies have no text here")
+        quote = lambda v: "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v)
+        sign = {"eq": "=", "neq": "<>", "gt": ">", "lt": "<", "gte": ">=", "lte": "<=", "like": "LIKE"}
+        keys = [(self.resolve(root.name, n)[1].sql, n.split(".")[-1]) for n in q.group_by]
+        picked = [f"{k} AS {n}" for k, n in keys]
+        for name in q.metrics:
+            m = root.metrics[known("metric", name, root.metrics)]
+            inner = f"CASE WHEN {' AND '.join(f'({f})' for f in m.filters)} THEN {'1' if m.sql == '*' else m.sql} END" if m.filters else m.sql
+            picked.append((f"count(DISTINCT {inner})" if m.type == "count_distinct" else f"{m.type}({inner})") + f" AS {name}")
+        tests = [f"({root.base_filter})"] if root.base_filter else []
+        for f, op, *value in q.filters:
+            c = self.resolve(root.name, f)[1].sql
+            known("filter", op, OPS)
+            tests.append(f"{c} IS {'NOT ' if op == 'is_not_null' else ''}NULL" if op in ("is_null", "is_not_null") else f"{c} IN ({', '.join(map(quote, items(value[0])))})" if op == "in" else f"{c} {sign[op]} {quote(value[0])}")
+        date = next((d for d in root.dimensions.values() if d.type in ("date", "timestamp")), None)
+        if (q.date_from or q.date_to) and date is None:
+            raise PlanError(f"{root.name} has no date dimension")
+        tests += [f"{date.sql} >= DATE {quote(q.date_from)}"] if q.date_from else []
+        tests += [f"{date.sql} < DATE {quote(q.date_to)} + INTERVAL '1' DAY"] if q.date_to else []
+        where = f" WHERE {' AND '.join(tests)}" if tests else ""
+        group = f" GROUP BY {', '.join(k for k, _ in keys)}" if keys else ""
+        return f"SELECT {'' if q.metrics else 'DISTINCT '}{', '.join(picked)} FROM {root.table}{where}{group if q.metrics else ''}"
 
     def _source(self, name: str, tables: dict[str, DataFrame], consumer: dict | None) -> DataFrame:
         m = self.models[name]
