@@ -28,7 +28,8 @@ def bm25f(docs: DataFrame, key: str, fields: dict[str, float], query: str, k1: f
     cut = docs.select(key, *[tokens(F.col(f)).alias(f"w{i}") for i, f in enumerate(names)])
     d = cut.select(key, *[F.size(f"w{i}").alias(f"n{i}") for i in range(len(names))], *[F.filter(f"w{i}", lambda x: x.isin(*asked)).alias(f"h{i}") for i in range(len(names))])
     total = d.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"n{i}").alias(f"m{i}") for i in range(len(names))])
-    hits = F.flatten(F.array(*[F.transform(f"h{i}", lambda x, i=i: F.struct(x.alias("term"), F.lit(i).alias("field"))) for i in range(len(names))]))
+    of_field = lambda i: F.transform(f"h{i}", lambda x: F.struct(x.alias("term"), F.lit(i).alias("field")))
+    hits = F.flatten(F.array(*[of_field(i) for i in range(len(names))]))
     part = F.explode(hits).alias("hit")
     tf = d.select(key, *[f"n{i}" for i in range(len(names))], part).groupBy(key, F.col("hit.term").alias("term")).agg(*[F.any_value(f"n{i}").alias(f"n{i}") for i in range(len(names))], *[F.count_if(F.col("hit.field") == i).alias(f"c{i}") for i in range(len(names))])
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
