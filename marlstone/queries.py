@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from .functions.catalog import PlanError
 from .operators import candidates, search, usage
-from .operators.tables import SnapshotTable, split, stream_into
+from .operators.tables import SnapshotTable, split
 from .plans import analyzer, views
 from .plans.pipeline import Pipeline
 from .quality import checks, monitor, registry
 from .semantic import governance
 from .semantic.model import Catalog, Dimension, Metric, Model, Query, Relationship
 from .sources.readers import explode_union, read_source, union, union_tables
+from .streaming.streams import stream_into
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

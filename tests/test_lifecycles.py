@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.catalog import PlanError, predicate
 from marlstone.operators import candidates, search, tables
-from marlstone.operators.tables import Conflict, SnapshotTable, stream_into
+from marlstone.operators.tables import Conflict, SnapshotTable
 from marlstone.plans import analyzer, describe
 from marlstone.plans.lineage import Lineage, columns_of
 from marlstone.plans.pipeline import Pipeline, join, limited, parse_filter
@@ -18,6 +18,7 @@ from marlstone.quality.publication import Publication
 from marlstone.semantic.governance import Access, Override
 from marlstone.semantic.model import Catalog, Dimension, Metric, Model, Query
 from marlstone.sources.readers import Sandbox, explode_union, find_file, union_partitions
+from marlstone.streaming import streams
 
 NOW = datetime(2026, 1, 1)
 
@@ -160,27 +161,27 @@ def test_null_keys_and_streams(spark, tmp_path):
     source, out, cp = f"{tmp_path}/in", SnapshotTable(spark, f"file://{tmp_path}/out"), f"{tmp_path}/cp"
     spark.range(2).write.parquet(source)
     stream = lambda: spark.readStream.schema("id bigint").parquet(source)
-    stream_into(stream(), out, cp)
+    streams.stream_into(stream(), out, cp)
     spark.range(2, 3).write.mode("append").parquet(source)
-    stream_into(stream(), out, cp)
+    streams.stream_into(stream(), out, cp)
     assert sorted(r.id for r in out.read().collect()) == [0, 1, 2]
-    tables.full_refresh(out, f"file://{cp}")
+    streams.full_refresh(out, f"file://{cp}")
     assert not out.exists()
-    stream_into(stream(), out, cp)
+    streams.stream_into(stream(), out, cp)
     assert out.read().count() == 3
-    query = stream_into(stream(), out, f"{tmp_path}/cp2", when="interval:1 s")
+    query = streams.stream_into(stream(), out, f"{tmp_path}/cp2", when="interval:1 s")
     try:
         query.processAllAvailable()
     finally:
         query.stop()
     assert out.read().count() == 6
-    assert tables.trigger("interval:5 m") == {"processingTime": "5 minutes"}
+    assert streams.trigger("interval:5 m") == {"processingTime": "5 minutes"}
     with pytest.raises(PlanError, match="trigger"):
-        tables.trigger("interval:soon")
-    assert tables.checkpoint_of(spark, "s", "t", "/r/") == "/r/s/t"
+        streams.trigger("interval:soon")
+    assert streams.checkpoint_of(spark, "s", "t", "/r/") == "/r/s/t"
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(PlanError, match="checkpoint root"):
-            tables.checkpoint_of(spark, "s", "t")
+            streams.checkpoint_of(spark, "s", "t")
     with pytest.raises(PlanError, match="can't be split"):
         tables.split(stream(), "id", f"{tmp_path}/split")
 
