@@ -136,6 +136,8 @@ class TokenCache:
         self.spaced, self.limit = spaced, limit
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.sign = os.path.commonprefix(self.added)
+        self.model = self.tokenizer.model
+        self.alphabet = {k: self._spelt(chr(k)) for k in range(0x180) if not BEYOND.search(chr(k))}
         self.known: dict[str, bytes] = {}  # by pieces
         self.words: dict[str, bytes] = {}  # by what stands between spaces
         self.cuts = True
@@ -143,16 +145,25 @@ class TokenCache:
         own = self.tokenizer.encode_batch(tries, add_special_tokens=False)
         self.cuts = all(self(t) == np.array(e.ids, self.dtype).tobytes() for t, e in zip(tries, own, strict=True))
 
-    def _fresh(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+    def _spelt(self, char: str) -> str:
+        """A character as the tokenizer hands it to its model: normalised, in a byte-level file's letters."""
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        char = normal.normalize_str(char) if normal else char
+        return "".join(part for part, _ in cut.pre_tokenize_str(char)) if cut else char
+
+    def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
+    def _fresh(self, piece: str) -> bytes:
+        """Ids of one piece, by the file's model alone, as the piece is cut already."""
+        return self._bytes([token.id for token in self.model.tokenize(piece.translate(self.alphabet))])
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         lower = text.lower()
         if not self.cuts or not text.isascii() and BEYOND.search(text) or self.sign in lower and any(content in lower for content in self.added):
-            return self._fresh(text)
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.known) > self.limit:
             self.known.clear()
         if not self.spaced:
@@ -169,25 +180,23 @@ class TokenCache:
             known.clear()
         got = list(map(known.get, chunks))
         if None in got:
-            for i, c in enumerate(chunks):
-                if got[i] is None:
-                    got[i] = found = self._pieces(before + c)
-                    if len(c) < 100:
-                        known[c] = found
+            new = {c: self._pieces(before + c) for c, ids in zip(chunks, got, strict=True) if ids is None}
+            got = [new[c] if ids is None else ids for c, ids in zip(chunks, got, strict=True)]
+            known.update((c, ids) for c, ids in new.items() if len(c) < 100)
         return b"".join(got)
 
     def _pieces(self, text: str) -> bytes:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        pieces = (SPACED if self.spaced else WORDS).findall(text)
-        get = self.known.get
-        got = [get(p) for p in pieces]
-        if None in got:
-            for i, p in enumerate(pieces):
-                if got[i] is None:
-                    got[i] = get(p) or self._fresh(p)
-                    if len(p) < 100:
-                        self.known[p] = got[i]
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        got = []
+        for p in (SPACED if self.spaced else WORDS).findall(text):
+            ids = known.get(p)
+            if ids is None:
+                ids = self._fresh(p)
+                if len(p) < 100:
+                    known[p] = ids
+            got.append(ids)
         return b"".join(got)
 
 
