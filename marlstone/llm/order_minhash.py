@@ -2,7 +2,7 @@
 
 A text's words make k-mers of K words; a word of more than LONG code points (text without blanks, as Chinese) counts
 as its single characters. Each k-mer is numbered by its occurrence, so that repeats count. A hash
-of k-mer and number puts it into one of BINS bins. Each bin stands for a hash function over all k-mers, which puts those
+of k-mer and number, the k-mer's own for its first occurrence, puts it into one of BINS bins. Each bin stands for a hash function over all k-mers, which puts those
 of its own bin first, by that hash, and then all others, by a hash of their own for this bin. Of each function the L
 smallest are selected, put back into text order, and their k-mers hashed as a tuple. Moving text changes the order
 within tuples and so the signature, which a plain MinHash doesn't notice. Whatever a text's length, a function orders
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, L, BINS, LONG = 2, 2, 64, 24  # thin bins are filled from two k-mers, so that L is two
-#: A place takes the low bits of a number, the bin the upper eight, a hash those between.
+#: A place takes the low bits of a number, a hash those above; the upper six of the hash are the bin, in the order of signed numbers.
 PLACE_BITS = 30
 PLACE = (1 << PLACE_BITS) - 1
-HASH = (1 << 56) - 1 - PLACE
+BIN = f"(shiftright({{}}, {64 - (BINS - 1).bit_length()}) + {BINS // 2}L)"
 #: Rows of one bucket of the order, segments of the order, and the most buckets of a segment, from which on buckets grow.
 BUCKET_ROWS, SEGMENTS, SPLITS = 256, 64, 1_024
 
@@ -39,20 +39,24 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     grams = ", ".join(f"_oh[i + {j}]" for j in range(K))
     df = df.selectExpr(*kept, f"CASE WHEN _on = 0 THEN _oh WHEN _on < {K} THEN array(xxhash64(_oh)) ELSE transform(sequence(0, size(_oh) - {K}), i -> xxhash64({grams})) END AS _og")
     df = df.selectExpr(*kept, "_og", f"sort_array(transform(_og, (x, i) -> (x & {~PLACE}L) | (i & {PLACE}L))) AS _os")
-    df = df.selectExpr(*kept, "_og", "_os", f"CASE WHEN size(_os) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(_os) - 1), i -> i = 0 OR shiftright(_os[i], {PLACE_BITS}) != shiftright(_os[i - 1], {PLACE_BITS})) END AS _ob")
-    key = f"shiftleft(xxhash64(shiftright(x, {PLACE_BITS}), o) & {BINS - 1}L, 56) | (xxhash64(o, shiftright(x, {PLACE_BITS})) & {HASH}L) | (x & {PLACE}L)"
-    df = df.selectExpr(*kept, "_og", f"sort_array(flatten(transform(_ob, (b, j) -> transform(slice(_os, b + 1, coalesce(get(_ob, j + 1), size(_os)) - b), (x, o) -> {key})))) AS _oq")
-    df = df.selectExpr(*kept, "_og", "_oq", f"filter(_oq, (x, i) -> i < {L} OR shiftright(get(_oq, i - {L}), 56) != shiftright(x, 56)) AS _ot")
+    # Runs of equal k-mers, by the places of their first and last in _os; only the second and later ones are hashed anew.
+    same = f"shiftright(_os[i], {PLACE_BITS}) = shiftright(_os[i - 1], {PLACE_BITS})"
+    goes_on = f"shiftright(_os[i], {PLACE_BITS}) = shiftright(_os[i + 1], {PLACE_BITS})"
+    df = df.selectExpr(*kept, "_og", "_os", f"CASE WHEN size(_os) < 2 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(_os) - 2), i -> {goes_on} AND (i = 0 OR NOT {same})) END AS _ob")
+    df = df.selectExpr(*kept, "_og", "_os", "_ob", f"CASE WHEN size(_ob) = 0 THEN _ob ELSE filter(sequence(1, size(_os) - 1), i -> {same} AND (i = size(_os) - 1 OR NOT {goes_on})) END AS _oe")
+    later = f"zip_with(_ob, _oe, (b, e) -> transform(slice(_os, b + 2, e - b), (x, o) -> (xxhash64(shiftright(x, {PLACE_BITS}), o) & {~PLACE}L) | (x & {PLACE}L)))"
+    df = df.selectExpr(*kept, "_og", f"CASE WHEN size(_ob) = 0 THEN _os ELSE sort_array(concat(filter(_os, (x, i) -> i = 0 OR NOT {same}), flatten({later}))) END AS _oq")
+    df = df.selectExpr(*kept, "_og", "_oq", f"filter(_oq, (x, i) -> i < {L} OR {BIN.format(f'get(_oq, i - {L})')} != {BIN.format('x')}) AS _ot")
     bins, full = f"sequence(0, {BINS - 1})", f"size(_ot) = {BINS * L}"
-    df = df.selectExpr(*kept, "_og", "_oq", "_ot", f"CASE WHEN {full} THEN cast(array() AS array<bigint>) ELSE transform(_ot, x -> shiftright(x, 56)) END AS _oc")
+    df = df.selectExpr(*kept, "_og", "_oq", "_ot", f"CASE WHEN {full} THEN cast(array() AS array<bigint>) ELSE transform(_ot, x -> {BIN.format('x')}) END AS _oc")
     at = "cast(array_position(_oc, cast(b AS bigint)) AS int)"
-    own = f"CASE WHEN {at} = 0 THEN cast(array() AS array<bigint>) ELSE filter(slice(_ot, {at}, {L}), x -> shiftright(x, 56) = b) END"
+    own = f"CASE WHEN {at} = 0 THEN cast(array() AS array<bigint>) ELSE filter(slice(_ot, {at}, {L}), x -> {BIN.format('x')} = b) END"
     df = df.selectExpr(*kept, "_og", "_oq", f"CASE WHEN {full} THEN cast(array() AS array<bigint>) ELSE transform(_oq, x -> x & {~PLACE}L) END AS _oh", f"CASE WHEN {full} THEN transform({bins}, b -> slice(_ot, b * {L} + 1, {L})) WHEN size(_ot) > 0 THEN transform({bins}, b -> {own}) ELSE cast(array() AS array<array<bigint>>) END AS _ob")
     # A thin bin has one k-mer or none of its own, so that two least of all by this function's hash are enough to fill it.
     place = lambda m: f"get(_oq, cast(array_position(t, {m}) AS int) - 1)"
     pair = f"transform(array(array_min(t)), m -> array({place('m')}, {place('array_min(array_remove(t, m))')}))[0]"
-    two = f"filter(transform(array(transform(_oh, y -> xxhash64(y, b))), t -> {pair})[0], x -> shiftright(x, 56) != b)"
-    df = df.selectExpr(*kept, "_og", f"transform(_ob, (own, b) -> CASE WHEN size(own) >= {L} THEN own ELSE concat(own, slice({two}, 1, {L} - size(own))) END) AS _ob")
+    two = f"filter(transform(array(transform(h, y -> xxhash64(y, b))), t -> {pair})[0], x -> {BIN.format('x')} != b)"
+    df = df.selectExpr(*kept, "_og", f"transform(array(_oh), h -> transform(_ob, (own, b) -> CASE WHEN size(own) >= {L} THEN own ELSE concat(own, slice({two}, 1, {L} - size(own))) END))[0] AS _ob")
     order = f"transform(sort_array(transform(own, x -> x & {PLACE}L)), p -> _og[cast(p AS int)])"
     return df.selectExpr(*kept, f"transform(_ob, (own, b) -> (b * {1 << 32}L) | (aggregate({order}, 0L, (a, x) -> xxhash64(a, x)) & {0xFFFFFFFF}L)) AS `{out}`")
 
