@@ -467,3 +467,31 @@ def test_chat_prefixes(spark):
     sizes = lambda turns: "".join(f"{len(t)};" for _, t in turns)  # noqa: E731  texts can't be found
     assert [(r.located, r.span) for r in chat.format_conversations(table.where("conv_id = 2"), sizes).collect()] == [(False, "1;"), (False, "1;")]
     assert chat.format_conversations(table.where("false"), template).count() == 0
+
+
+def test_chat_sizes(spark):
+    """What a conversation gives depends on no number of turns or code points."""
+
+    class Numbered(chat.MarkedTemplate):  # states a context of one turn and needs all
+        def __call__(self, turns):
+            return super().__call__([(f"{role}{k}", text) for k, (role, text) in enumerate(turns)])
+
+    class Replying(chat.LocalTemplate):
+        def turn(self, before, turn):
+            return f"{before and before[0]}>{turn[0]}:{turn[1]};"
+
+    for first in ("x", "x" * (1 << 20)):
+        state = chat.Incremental(Numbered())
+        assert [state.add("user", first) is None, *(state.add("user", "x") is None for _ in range(3))] == [False, False, False, True] and state.rewrites
+    turns = {n: [("user", f"t{k}" if k else "x" * (1 << 20 if n == 6 else 1)) for k in range(n)] for n in range(1, 10)}
+    table = spark.createDataFrame([(n, k, *t) for n, ts in turns.items() for k, t in enumerate(ts)], "conv_id long, turn long, role string, text string")
+    for template in (Numbered(), Replying(), chat.MarkedTemplate()):
+        spans = {n: ["" for _ in ts] for n, ts in turns.items()}
+        for r in chat.format_conversations(table, template).collect():
+            spans[r.conv_id][r.seq] = r.span
+            assert r.located and not r.rewrites
+        assert all("".join(spans[n]) == template(ts) for n, ts in turns.items())
+    state = chat.Incremental(chat.MarkedTemplate())
+    for k in range(100):
+        state.add("user", f"t{k}")
+    assert len(state.turns) == 1 and not state.all and not state.spans
