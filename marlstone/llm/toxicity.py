@@ -30,6 +30,8 @@ from .common import bounded_batches, crc32_text, map_rows, mix
 BITS, SIZES = 20, (3, 4, 5)
 FIT_ROWS, FIT_CHARS, FIT_FEATURES = 6_000, 200_000, 40_000_000
 SMOOTH, LEAST_TEXTS, ROUNDS, DECAY = 1.0, 4, 200, 2e-4
+#: Features of the fit that are worked on at once.
+BLOCK = 1 << 19
 
 
 def ngrams(text: str | None) -> np.ndarray:
@@ -46,8 +48,15 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def _blocks(lengths: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Runs of whole rows of about BLOCK features: first row and feature, and those after the last."""
+    ends = np.append(0, np.cumsum(lengths))
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(0, ends[-1], BLOCK)), len(lengths)])
+    return [(i, j, ends[i], ends[j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
 def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """Weights of all features and the intercept."""
+    """Weights of all features and the intercept. Empties `rows`: beside them it holds four bytes for each active feature and blocks of BLOCK features."""
     size, y = 1 << BITS, labels.astype(float)
     weights = np.zeros(size, np.float32)
     if not len(y):
@@ -56,25 +65,39 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, float]
     prior = math.log((positive + SMOOTH) / (len(y) - positive + SMOOTH))
     if positive in (0, len(y)):
         return weights, prior
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    with_, of_toxic = np.bincount(flat, minlength=size), np.bincount(flat, y[owner], size)
+    with_, of_toxic = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for toxic, row in zip(y, rows, strict=True):  # no feature stands twice in a row
+        with_[row] += 1
+        if toxic:
+            of_toxic[row] += 1
     ratio = np.log((of_toxic + SMOOTH) / (positive + 2 * SMOOTH)) - np.log((with_ - of_toxic + SMOOTH) / (len(y) - positive + 2 * SMOOTH))
     active = np.flatnonzero((with_ >= LEAST_TEXTS) & (np.abs(ratio) > 0.7))
-    number = np.full(size, -1, np.int64)
+    number = np.full(size, -1, np.int32)
     number[active] = np.arange(len(active))
-    flat = number[flat]
-    flat, owner = flat[flat >= 0], owner[flat >= 0]
-    value = ratio[active][flat] / 4
+    flat, lengths = np.empty(int(with_[active].sum(dtype=np.int64)), np.int32), np.zeros(len(rows), np.int64)
+    at = 0
+    for k, row in enumerate(rows):
+        found = number[row]
+        found = found[found >= 0]
+        flat[at : at + len(found)] = found
+        lengths[k], rows[k] = len(found), None
+        at += len(found)
+    rows.clear()
+    blocks, value = _blocks(lengths), ratio[active] / 4
     w, b, m, v = np.zeros(len(active)), prior, np.zeros(len(active) + 1), np.zeros(len(active) + 1)
     balance = np.where(y > 0, 0.5 * len(y) / positive, 0.5 * len(y) / (len(y) - positive))
     for k in range(1, ROUNDS + 1):  # Adam over all rows
-        z = b + np.bincount(owner, w[flat] * value, len(y))
-        error = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(flat, error[owner] * value, len(active)) + DECAY * w, error.sum())
+        g, of_b, part = np.zeros(len(active)), 0.0, w * value
+        for i, j, lo, hi in blocks:
+            z = b + np.bincount(np.repeat(np.arange(j - i), lengths[i:j]), part[flat[lo:hi]], j - i)
+            error = balance[i:j] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[i:j]) / len(y)
+            g += np.bincount(flat[lo:hi], np.repeat(error, lengths[i:j]), len(active))
+            of_b += error.sum()
+        g = np.append(g * value + DECAY * w, of_b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    w = w * ratio[active] / 4
+    w = w * value
     weights[active] = np.where(np.abs(w) < 1e-3, 0, w)
     return weights, float(b)
 

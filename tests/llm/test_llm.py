@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -114,6 +115,26 @@ def test_toxicity_ratios():
     assert toxicity._score("bad day", weights, b) > 0.9 and toxicity._score("good day", weights, b) < 0.1
 
 
+def test_toxicity_memory(monkeypatch):
+    """The fit takes a few bytes a feature beside its rows, and blocks of any size give the same weights."""
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 2, 400)
+    rows = [np.unique(rng.integers(0, 1 << 16, 12_000) + (y << 16)).astype(np.uint32) for y in labels] + [np.zeros(0, np.uint32)]
+    labels = np.append(labels, 0)
+    monkeypatch.setattr(toxicity, "ROUNDS", 3)
+    tracemalloc.start()
+    weights, b = toxicity._fit(labels, [r.copy() for r in rows])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(map(len, rows)) + (60 << 20) and (weights != 0).any()
+    for block in (1, 50_000, 1 << 30):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        again, c = toxicity._fit(labels[:30], [r[:500] for r in rows[:30]]), toxicity._fit(labels[:30], [r[:0] for r in rows[:30]])
+        want = want if block > 1 else (again, c)
+        assert np.allclose(again[0], want[0][0]) and np.allclose((again[1], c[1]), (want[0][1], want[1][1])) and not c[0].any()
+    assert want[1][1] != np.log((labels[:30].sum() + 1) / (30 - labels[:30].sum() + 1))  # the intercept is learnt without features
+
+
 def order_minhash_by_hand(text, bins=64):
     """Python version of the definition in the docstring, with Spark's own hash replaced: only equalities are compared."""
     words = [c for w in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if w for c in (w if len(w) > order_minhash.LONG else [w])]
